@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality, setsketch
+from . import bpe, decontam, packing, quality, setsketch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,28 @@ def op7_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
+
+
+GAPLESS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+OP10 = rf"""
+WITH b AS (
+  SELECT item_id, ws, least(13, len(ws)) AS w FROM (SELECT item_id, regexp_extract_all({LOWER}, {GAPLESS}) AS ws FROM benchmark) WHERE len(ws) > 0
+), bw AS (
+  SELECT DISTINCT item_id, w, array_to_string(ws[i:i + w - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(ws) - w + 2)) AS i FROM b)
+), d AS (
+  SELECT doc_id, coalesce(regexp_extract_all({LOWER}, {GAPLESS}), []) AS ws FROM documents
+), dw AS (
+  SELECT doc_id, i, w, array_to_string(ws[i:i + w - 1], ' ') AS win
+  FROM (SELECT d.*, x.w, unnest(range(1, len(ws) - x.w + 2)) AS i FROM d, (SELECT DISTINCT w FROM bw) x)
+), h AS (SELECT dw.doc_id, dw.i, dw.w, bw.item_id FROM dw JOIN bw ON dw.win = bw.win AND dw.w = bw.w),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + w)) AS p FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
+@query(OP10)
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("k1", "k2")
