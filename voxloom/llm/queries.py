@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, packing, quality, setsketch, urls
+from . import bpe, decontam, kneser, packing, quality, setsketch, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -145,3 +145,8 @@ FROM f LEFT JOIN r USING (host)
 @query(OP6)
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op9_kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser.score(table(spark, sf_dir, "documents"))
