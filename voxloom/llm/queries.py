@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontam, kneser, packing, quality, setsketch, urls
+from . import bpe, decontam, kneser, lines, packing, quality, setsketch, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -150,3 +151,11 @@ def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser.score(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"))
+    out = lines.dedup_lines(docs, empty="keep")
+    left = F.size(F.split("text", "\n")).cast("bigint")
+    return out.select("doc_id", "n_lines", left.alias("n_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
