@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, kneser, lines, packing, quality, setsketch, urls
+from . import bpe, decontam, kneser, lines, packing, pii, quality, setsketch, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -159,3 +159,8 @@ def op8_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(docs, empty="keep")
     left = F.size(F.split("text", "\n")).cast("bigint")
     return out.select("doc_id", "n_lines", left.alias("n_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@query()
+def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
