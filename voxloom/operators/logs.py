@@ -9,9 +9,9 @@ from pyspark.sql.window import Window
 from ..functions.text import squeeze
 
 
-def traffic(agent: Column, maintainer: Column) -> Column:
-    """Who asked, of a request: the batch pipeline by its agent, a maintainer by header, else the web."""
-    return F.when(agent.startswith("wts"), "pipeline").when(maintainer, "maintainer").otherwise("web")
+def traffic(agent: Column, maintainer: Column, batch_agent: str) -> Column:
+    """Who asked, of a request: the batch pipeline by its agent's prefix, a maintainer by header, else the web."""
+    return F.when(agent.startswith(batch_agent), "pipeline").when(maintainer, "maintainer").otherwise("web")
 
 
 def weighted_percentile(points: DataFrame, keys: list[str], value: str, weight: str, share: float) -> DataFrame:
