@@ -5,3 +5,4 @@ from .catalog import ORACLES, QUERIES  # noqa: F401
 from . import sequence_queries  # noqa: F401, E402
 from . import table_queries  # noqa: F401, E402
 from . import transcript_queries  # noqa: F401, E402
+from . import more_queries  # noqa: F401, E402
