@@ -3,9 +3,10 @@
 Only DataFrame functions.  A line's signature comes from its hashed 12-character shingles in sorted
 order: the hash space has 16 equal parts, and each part's band is the ROWS smallest hashes from the
 first one in that part on.  Two lines share a band with a chance near J ** ROWS, so at similarity
-0.8 all 16 bands differ with a chance of 2e-4.  Long lines sign the shingles that follow certain
-characters (content decides, so a shift changes nothing); short lines sign all of them, and
-lengths near the limit do both.  Candidates are compared on all their 8-character shingles.
+0.8 all 16 bands differ with a chance of 2e-3, at 0.9 of 1e-6.  Long lines sign the shingles that
+follow a space, a digit or a letter outside ASCII (content decides, so a shift changes nothing);
+short lines sign all of them, and lengths near the limit do both.  Candidates are compared exactly
+on these sets: on all shingles if both lines are short, else on those that long lines sign.
 """
 
 from __future__ import annotations
@@ -18,14 +19,15 @@ from .shared import components, write_table
 #: Shorter lines are never removed.
 MIN_CHARS = 20
 PERCENT = 80
-ROWS = 4
+ROWS = 5
 #: Lines under SHORT characters sign every shingle; those over SHORT * 0.8 to SHORT / 0.8 do both.
 SHORT = 96
 ALL = "(?s)(?=(.{12}))"
-SOME = "(?s)(?<=[ aei0-9\u0080-￿])(?=(.{12}))"
-EXACT = "(?s)(?=(.{8}))"
+SOME = "(?s)(?<![^ 0-9\u0080-￿])(?=(.{12}))"
+#: Lines in a block of the completing comparison.
+BLOCK = 128
 #: Tables of documents or lines are broadcast up to so many rows; beyond, joins shuffle.
-BROADCAST_ROWS = 300_000
+BROADCAST_ROWS = 1_000_000
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -38,9 +40,13 @@ def normal(line: Column) -> Column:
     return F.lower(F.trim(line))
 
 
+def _shingles(line: Column | str, pattern: str) -> Column:
+    return F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
+
+
 def _hashes(line: Column, pattern: str) -> Column:
     """Sorted distinct hashes of a line's shingles."""
-    return F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)), lambda x: F.hash(x))))
+    return F.sort_array(F.array_distinct(F.transform(_shingles(line, pattern), lambda x: F.hash(x))))
 
 
 def _bands(column: str, tag: int) -> str:
@@ -67,28 +73,72 @@ def line_table(docs: DataFrame, text: str) -> DataFrame:
     return rows.select("doc_id", "no", "h1", "h2", F.expr(f"concat({_bands('short', 0)}, {_bands('long', 1)})").alias("keys"))
 
 
-def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, text: str, percent: int) -> DataFrame:
-    """The pairs (a, b) of lines whose full shingle sets reach the similarity."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-    places = firsts.join(need, "h1").groupBy(F.col("at.doc_id").alias("_doc")).agg(F.collect_list(F.struct(F.col("at.no").alias("no"), "h1")).alias("_need"))
+def _texts(ids: DataFrame, firsts: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """Rows (h1, line) of the lines in ``ids`` (h1), read where each first stands."""
+    places = firsts.join(ids, "h1").groupBy(F.col("at.doc_id").alias("_doc")).agg(F.collect_list(F.struct(F.col("at.no").alias("no"), "h1")).alias("_need"))
     found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.split(F.col(text).cast("string"), "\n").alias("lines")).join(_small(places), F.col("doc_id") == F.col("_doc"))
-    found = found.select(F.explode(F.expr("transform(_need, x -> struct(x.h1 AS h1, lines[x.no] AS line))")).alias("x")).select("x.h1", normal(F.col("x.line")).alias("line"))
-    sets = found.select("h1", F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(EXACT), F.lit(1)), lambda x: F.xxhash64(x))).alias("s")).dropDuplicates(["h1"])
-    sets = write_table(sets, "line-sets")
-    both = pairs.join(sets.select(F.col("h1").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("h1").alias("b"), F.col("s").alias("sb")), "b")
-    both = both.where(100 * F.least(F.size("sa"), F.size("sb")) >= percent * F.greatest(F.size("sa"), F.size("sb")))
-    both = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("i"))
-    return both.where(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select("a", "b")
+    return found.select(F.explode(F.expr("transform(_need, x -> struct(x.h1 AS h1, lines[x.no] AS line))")).alias("x")).select("x.h1", normal(F.col("x.line")).alias("line"))
+
+
+def _like(x: str, y: str, percent: int) -> str:
+    """SQL: whether two structs with ``short`` and ``long`` sets reach the similarity (short ones if both have them)."""
+    a, b = (f"IF({x}.short IS NULL OR {y}.short IS NULL, {z}.long, {z}.short)" for z in (x, y))
+    fits = f"100 * least(size(p.a), size(p.b)) >= {percent} * greatest(size(p.a), size(p.b))"
+    near = f"exists(array(size(array_intersect(p.a, p.b))), i -> i > 0 AND 100 * i >= {percent} * (size(p.a) + size(p.b) - i))"
+    return f"exists(array(named_struct('a', {a}, 'b', {b})), p -> {fits} AND {near})"
+
+
+def _with_sets(lines: DataFrame) -> DataFrame:
+    """Adds the sets that lines are compared on: ``short`` (null for long lines) and ``long``."""
+    short = F.when(F.char_length("line") < SHORT / 0.8, F.array_distinct(F.transform(_shingles("line", ALL), lambda x: F.xxhash64(x))))
+    return lines.select("h1", F.struct("h1", short.alias("short"), F.array_distinct(F.transform(_shingles("line", SOME), lambda x: F.xxhash64(x))).alias("long")).alias("v"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of lines whose shingle sets reach the similarity."""
+    a, b = texts.select(F.col("h1").alias("a"), F.col("line").alias("la")), texts.select(F.col("h1").alias("b"), F.col("line").alias("lb"))
+    both = pairs.join(a, "a").join(b, "b")
+    short = F.greatest(F.char_length("la"), F.char_length("lb")) < SHORT / 0.8
+    sets = (F.array_distinct(F.when(short, _shingles(c, ALL)).otherwise(_shingles(c, SOME))).alias(s) for c, s in (("la", "sa"), ("lb", "sb")))
+    # one expression, its sets bound to a lambda's variable: a filter would evaluate columns again
+    counts = F.transform(F.array(F.struct(*sets)), lambda x: F.struct((F.size(x["sa"]) + F.size(x["sb"])).alias("n"), F.size(F.array_intersect(x["sa"], x["sb"])).alias("i")))
+    hit = F.exists(counts, lambda c: (c["i"] > 0) & (100 * c["i"] >= percent * (c["n"] - c["i"])))
+    return both.where(hit).select("a", "b")
+
+
+def _across(shared: DataFrame, labels: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links between different components that some bucket holds together.
+
+    In a bucket with several components the one with most members is its base; under each base the
+    members of others (``light``) meet all members of those buckets.  Both sides are dealt into blocks of
+    about BLOCK lines and a block's pairs are compared inside one row, each line's set made once, so only
+    links become rows.
+    """
+    known = shared.join(labels, shared["h1"] == labels["id"], "left").select("key", "h1", F.coalesce("component", "h1").alias("comp"))
+    known = write_table(known, "line-members")
+    per = known.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    mixed = per.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("k")).where("k > 1")
+    under = known.join(mixed.select("key", F.col("m.comp").alias("base")), "key").select("base", "h1", "comp", (F.col("comp") != F.col("base")).alias("light")).distinct()
+    under = write_table(under, "line-mixed")
+    size = under.groupBy("base").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cols"), F.ceil(F.count(F.when(F.col("light"), 1)) / BLOCK).cast("int").alias("rows"))
+    dealt = under.join(size, "base")
+    light = dealt.where("light").select("base", "h1", "comp", F.pmod(F.xxhash64("h1", F.lit(1)), "rows").cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"), F.lit(True).alias("light"))
+    every = dealt.select("base", "h1", "comp", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), F.pmod(F.xxhash64("h1", F.lit(2)), "cols").cast("int").alias("c"), F.lit(False).alias("light"))
+    item = F.struct("comp", "v.h1", "v.short", "v.long")
+    placed = light.unionByName(every).join(_with_sets(texts), "h1")
+    blocks = placed.groupBy("base", "r", "c").agg(F.collect_list(F.when(F.col("light"), item)).alias("xs"), F.collect_list(F.when(~F.col("light"), item)).alias("ys"))
+    links = f"flatten(transform(xs, x -> transform(filter(ys, y -> y.comp <> x.comp AND {_like('x', 'y', percent)}), y -> named_struct('a', x.h1, 'b', y.h1))))"
+    return blocks.select(F.explode(F.expr(links)).alias("l")).select("l.a", "l.b")
 
 
 def duplicate_lines(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
     """Rows (doc_id, gone): the line numbers, from 0, that repeat an earlier line or one like it.
 
     Lines are lower-cased and trimmed; those under MIN_CHARS characters are left alone.  Lines are
-    linked when ``100 * |A & B| >= percent * |A | B|`` over distinct 8-character shingles, and
+    linked when ``100 * |A & B| >= percent * |A | B|`` over distinct shingles (module text), and
     each component keeps its first line by (doc_id, number).  Equal lines are one node from the
-    start; a bucket's members meet its pivot, and only pairs of a bucket that stay apart after that
-    are compared as well.  Rows that share an id are one document; rows with a null id are left out.
+    start; a bucket's members meet its pivot, and pairs of a bucket that stay apart after that are
+    compared in blocks.  Rows that share an id are one document; rows with a null id are left out.
     """
     rows = write_table(line_table(docs, text), "lines")
     firsts = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "no")).alias("at"), F.count("*").alias("c"))
@@ -97,17 +147,12 @@ def duplicate_lines(docs: DataFrame, text: str = "text", percent: int = PERCENT)
     hot = keyed.groupBy("key").agg(F.min("h1").alias("pivot"), F.max("h1").alias("other")).where("pivot <> other").select("key", "pivot")
     shared = write_table(keyed.join(_small(hot), "key").distinct(), "line-buckets")
     pairs = write_table(shared.where("h1 <> pivot").select(F.col("pivot").alias("a"), F.col("h1").alias("b")).distinct(), "line-pairs")
-    links = write_table(_verified(pairs, firsts, docs, text, percent), "line-links")
+    texts = write_table(_texts(shared.select("h1").distinct(), firsts, docs, text), "line-texts")
+    links = write_table(_verified(pairs, texts, percent), "line-links")
     labels = components(links, "line-star")
-    known = shared.join(labels, shared["h1"] == labels["id"], "left").select("key", "h1", F.coalesce("component", "h1").alias("comp"))
-    mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    known = write_table(known.join(mixed, "key", "left_semi"), "line-mixed")
-    x, y = known.select("key", F.col("h1").alias("a"), F.col("comp").alias("ca")), known.select("key", F.col("h1").alias("b"), F.col("comp").alias("cb"))
-    rest = x.join(y, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = write_table(rest.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "line-rest")
-    if not rest.isEmpty():
-        links = links.union(write_table(_verified(rest, firsts, docs, text, percent), "line-more"))
-        labels = components(links, "line-all")
+    more = write_table(_across(shared.select("key", "h1"), labels, texts, percent), "line-more")
+    if not more.isEmpty():
+        labels = components(links.union(more), "line-all")
     grouped = firsts.join(labels, firsts["h1"] == labels["id"], "left").select("h1", "at", "c", "component")
     first_of = grouped.where("component IS NOT NULL").groupBy("component").agg(F.min("at").alias("first"))
     decided = grouped.where("c > 1 OR component IS NOT NULL").join(first_of, "component", "left").select("h1", F.coalesce("first", "at").alias("first"))

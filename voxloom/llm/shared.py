@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _forget() -> None:
+    for own in _OWN.values():
+        shutil.rmtree(own.removeprefix("file://"), ignore_errors=True)
     for spark, path in _MADE:
         try:
             drop_path(spark, path)
