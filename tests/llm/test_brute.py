@@ -99,6 +99,26 @@ def test_line_dedup(spark):
     assert got == {k: sorted(v) for k, v in want.items()}
 
 
+def test_long_lines_are_compared_on_all_shingles(spark):
+    r = random.Random(11)
+
+    def edited(line, n):
+        chars = list(line)
+        for at in range(5, 5 + n * 14, 14):
+            chars[at] = "Q"
+        return "".join(chars)
+
+    letters = "".join(r.choices("bcdfghkmnp", k=400))
+    # words stay, so that shingles after spaces agree, and what lies inside the long tokens differs
+    tokens = ["".join(r.choices("bcdfghkmnp", k=60)) for _ in range(8)]
+    lines_of = [letters, edited(letters, 2), " ".join(tokens), " ".join(t[:13] + t[:12:-1] for t in tokens)]
+    shingles = [{x.lower()[i : i + 12] for i in range(len(x) - 11)} for x in lines_of]
+    near = [[100 * len(a & b) >= 80 * len(a | b) for b in shingles] for a in shingles]
+    assert near[0][1] and not near[2][3]
+    got = {x.doc_id: list(x.gone) for x in lines.duplicate_lines(spark.createDataFrame(list(enumerate(lines_of)), "doc_id bigint, text string")).collect()}
+    assert got == {1: [0]}
+
+
 def test_tokens_equal_the_library():
     tokenizers = pytest.importorskip("tokenizers")
     path = bpe.default_path()

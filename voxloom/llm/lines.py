@@ -1,12 +1,10 @@
 """Fuzzy line dedup: character shingles, MinHash bands, exact Jaccard check, union-find.
 
-Only DataFrame functions.  A line's signature comes from its hashed 12-character shingles in sorted
-order: the hash space has 16 equal parts, and each part's band is the ROWS smallest hashes from the
-first one in that part on.  Two lines share a band with a chance near J ** ROWS, so at similarity
-0.8 all 16 bands differ with a chance of 2e-3, at 0.9 of 1e-6.  Long lines sign the shingles that
-follow a space, a digit or a letter outside ASCII (content decides, so a shift changes nothing);
-short lines sign all of them, and lengths near the limit do both.  Candidates are compared exactly
-on these sets: on all shingles if both lines are short, else on those that long lines sign.
+Only DataFrame functions.  A line's signature comes from the hashes of all its 12-character shingles
+in sorted order: the hash space has 16 equal parts, and each part's band is the ROWS smallest hashes
+from the first one in that part on.  Two lines share a band with a chance near J ** ROWS, so at
+similarity 0.8 all 16 bands differ with a chance of 2e-3, at 0.9 of 1e-6.  Candidates are compared
+exactly, on all their shingles whatever their length.
 """
 
 from __future__ import annotations
@@ -20,10 +18,8 @@ from .shared import components, write_table
 MIN_CHARS = 20
 PERCENT = 80
 ROWS = 5
-#: Lines under SHORT characters sign every shingle; those over SHORT * 0.8 to SHORT / 0.8 do both.
-SHORT = 96
-ALL = "(?s)(?=(.{12}))"
-SOME = "(?s)(?<![^ 0-9\u0080-￿])(?=(.{12}))"
+#: Characters in a shingle.
+WIDTH = 12
 #: Lines in a block of the completing comparison.
 BLOCK = 128
 #: Tables of documents or lines are broadcast up to so many rows; beyond, joins shuffle.
@@ -40,37 +36,32 @@ def normal(line: Column) -> Column:
     return F.lower(F.trim(line))
 
 
-def _shingles(line: Column | str, pattern: str) -> Column:
-    return F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
+def _shingles(line: str, of: str) -> Column:
+    """SQL ``of`` with each shingle as ``{x}`` (UTF-32 bytes) of a line, in order of place.
 
-
-def _hashes(line: Column, pattern: str) -> Column:
-    """Sorted distinct hashes of a line's shingles."""
-    return F.sort_array(F.array_distinct(F.transform(_shingles(line, pattern), lambda x: F.hash(x))))
+    The bytes are bound to a lambda's variable, so they are made once, and each is cut out in constant time.
+    """
+    x = f"substring(w, 4 * i + 1, {4 * WIDTH})"
+    return F.expr(f"transform(array(encode({line}, 'UTF-32')), w -> transform(IF(length(w) >= {4 * WIDTH}, sequence(0, length(w) div 4 - {WIDTH}), array()), i -> {of.format(x=x)}))[0]")
 
 
-def _bands(column: str, tag: int) -> str:
-    """SQL of the band keys of a column of hashes; ``tag`` keeps the two kinds of signature apart.
+def _bands(column: str) -> str:
+    """SQL of the band keys of a column of sorted hashes.
 
     The column is named, never inlined: a lambda would evaluate an expression for each element.
     """
     first = f"i = 0 OR shiftright({column}[i - 1], 28) <> shiftright(h, 28)"
     run = f"IF(i + {ROWS} <= size({column}), slice({column}, i + 1, {ROWS}), slice(concat(slice({column}, i + 1, {ROWS}), slice({column}, 1, {ROWS})), 1, {ROWS}))"
-    return f"filter(transform({column}, (h, i) -> IF({first}, xxhash64({tag}, shiftright(h, 28), {run}), NULL)), k -> k IS NOT NULL)"
+    return f"filter(transform({column}, (h, i) -> IF({first}, xxhash64(shiftright(h, 28), {run}), NULL)), k -> k IS NOT NULL)"
 
 
 def line_table(docs: DataFrame, text: str) -> DataFrame:
     """Lines long enough: doc_id, no (from 0), h1, h2 (128-bit hash), keys."""
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("no", "line"))
     rows = rows.select("doc_id", "no", normal(F.col("line")).alias("line")).where(F.char_length("line") >= MIN_CHARS)
-    n = F.char_length("line")
-    none = F.array().cast("array<int>")
-    rows = rows.select(
-        "doc_id", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"),
-        F.when(n < SHORT / 0.8, _hashes(F.col("line"), ALL)).otherwise(none).alias("short"),
-        F.when(n >= SHORT * 0.8, _hashes(F.col("line"), SOME)).otherwise(none).alias("long"),
-    )
-    return rows.select("doc_id", "no", "h1", "h2", F.expr(f"concat({_bands('short', 0)}, {_bands('long', 1)})").alias("keys"))
+    hashes = F.sort_array(F.array_distinct(_shingles("line", "hash({x})"))).alias("hashes")
+    rows = rows.select("doc_id", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), hashes)
+    return rows.select("doc_id", "no", "h1", "h2", F.expr(_bands("hashes")).alias("keys"))
 
 
 def _texts(ids: DataFrame, firsts: DataFrame, docs: DataFrame, text: str) -> DataFrame:
@@ -81,25 +72,22 @@ def _texts(ids: DataFrame, firsts: DataFrame, docs: DataFrame, text: str) -> Dat
 
 
 def _like(x: str, y: str, percent: int) -> str:
-    """SQL: whether two structs with ``short`` and ``long`` sets reach the similarity (short ones if both have them)."""
-    a, b = (f"IF({x}.short IS NULL OR {y}.short IS NULL, {z}.long, {z}.short)" for z in (x, y))
-    fits = f"100 * least(size(p.a), size(p.b)) >= {percent} * greatest(size(p.a), size(p.b))"
-    near = f"exists(array(size(array_intersect(p.a, p.b))), i -> i > 0 AND 100 * i >= {percent} * (size(p.a) + size(p.b) - i))"
-    return f"exists(array(named_struct('a', {a}, 'b', {b})), p -> {fits} AND {near})"
+    """SQL: whether the sets ``s`` of two structs reach the similarity."""
+    fits = f"100 * least(size({x}.s), size({y}.s)) >= {percent} * greatest(size({x}.s), size({y}.s))"
+    near = f"exists(array(size(array_intersect({x}.s, {y}.s))), i -> i > 0 AND 100 * i >= {percent} * (size({x}.s) + size({y}.s) - i))"
+    return f"{fits} AND {near}"
 
 
 def _with_sets(lines: DataFrame) -> DataFrame:
-    """Adds the sets that lines are compared on: ``short`` (null for long lines) and ``long``."""
-    short = F.when(F.char_length("line") < SHORT / 0.8, F.array_distinct(F.transform(_shingles("line", ALL), lambda x: F.xxhash64(x))))
-    return lines.select("h1", F.struct("h1", short.alias("short"), F.array_distinct(F.transform(_shingles("line", SOME), lambda x: F.xxhash64(x))).alias("long")).alias("v"))
+    """Adds the set that lines are compared on: 64-bit hashes of all shingles."""
+    return lines.select("h1", F.struct("h1", F.array_distinct(_shingles("line", "xxhash64({x})")).alias("s")).alias("v"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of lines whose shingle sets reach the similarity."""
     a, b = texts.select(F.col("h1").alias("a"), F.col("line").alias("la")), texts.select(F.col("h1").alias("b"), F.col("line").alias("lb"))
     both = pairs.join(a, "a").join(b, "b")
-    short = F.greatest(F.char_length("la"), F.char_length("lb")) < SHORT / 0.8
-    sets = (F.array_distinct(F.when(short, _shingles(c, ALL)).otherwise(_shingles(c, SOME))).alias(s) for c, s in (("la", "sa"), ("lb", "sb")))
+    sets = (F.array_distinct(_shingles(c, "hex({x})")).alias(s) for c, s in (("la", "sa"), ("lb", "sb")))
     # one expression, its sets bound to a lambda's variable: a filter would evaluate columns again
     counts = F.transform(F.array(F.struct(*sets)), lambda x: F.struct((F.size(x["sa"]) + F.size(x["sb"])).alias("n"), F.size(F.array_intersect(x["sa"], x["sb"])).alias("i")))
     hit = F.exists(counts, lambda c: (c["i"] > 0) & (100 * c["i"] >= percent * (c["n"] - c["i"])))
@@ -124,7 +112,7 @@ def _across(shared: DataFrame, labels: DataFrame, texts: DataFrame, percent: int
     dealt = under.join(size, "base")
     light = dealt.where("light").select("base", "h1", "comp", F.pmod(F.xxhash64("h1", F.lit(1)), "rows").cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"), F.lit(True).alias("light"))
     every = dealt.select("base", "h1", "comp", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), F.pmod(F.xxhash64("h1", F.lit(2)), "cols").cast("int").alias("c"), F.lit(False).alias("light"))
-    item = F.struct("comp", "v.h1", "v.short", "v.long")
+    item = F.struct("comp", "v.h1", "v.s")
     placed = light.unionByName(every).join(_with_sets(texts), "h1")
     blocks = placed.groupBy("base", "r", "c").agg(F.collect_list(F.when(F.col("light"), item)).alias("xs"), F.collect_list(F.when(~F.col("light"), item)).alias("ys"))
     links = f"flatten(transform(xs, x -> transform(filter(ys, y -> y.comp <> x.comp AND {_like('x', 'y', percent)}), y -> named_struct('a', x.h1, 'b', y.h1))))"
@@ -135,7 +123,7 @@ def duplicate_lines(docs: DataFrame, text: str = "text", percent: int = PERCENT)
     """Rows (doc_id, gone): the line numbers, from 0, that repeat an earlier line or one like it.
 
     Lines are lower-cased and trimmed; those under MIN_CHARS characters are left alone.  Lines are
-    linked when ``100 * |A & B| >= percent * |A | B|`` over distinct shingles (module text), and
+    linked when ``100 * |A & B| >= percent * |A | B|`` over all distinct shingles, and
     each component keeps its first line by (doc_id, number).  Equal lines are one node from the
     start; a bucket's members meet its pivot, and pairs of a bucket that stay apart after that are
     compared in blocks.  Rows that share an id are one document; rows with a null id are left out.
