@@ -22,6 +22,12 @@ def corrections_apply(spark, d):
     return transcript.apply_corrections(rows, "text", [(("thly",), "truly")]).withColumn("text", F.concat(F.lit(" "), "text", F.lit(" ")))
 
 
+@query()
+def corrections_apply_all(spark, d):
+    """Every document; SQL cannot express the rules' case and word boundaries, so a test compares with plain Python."""
+    return transcript.apply_corrections(table(spark, d, "documents").select("doc_id", "text"), "text", [(("thly",), "truly")])
+
+
 @query(
     """WITH s AS (SELECT conv_id AS episode, turn * 2000 + 2000 AS end_ms, text, (turn % 5) / 5.0 AS ns, -(conv_id % 3) AS lp FROM conversations)
  SELECT episode, sum(CASE WHEN ns > 0.6 AND lp < -1 THEN 0 ELSE len(regexp_extract_all(coalesce(text, ''), '[^\\s]+')) END)::BIGINT AS words, count(*) FILTER (ns > 0.6 AND lp < -1) AS dropped,
