@@ -56,7 +56,17 @@ def next_undecided_circular(spark, d):
 
 @query("WITH m AS (SELECT o_orderkey AS k, o_custkey AS claim FROM orders WHERE o_orderkey < 3000) SELECT k, claim FROM m WHERE claim NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 = 0) QUALIFY count(*) OVER (PARTITION BY claim) = 1")
 def duplicate_claims_dropped(spark, d):
-    m = table(spark, d, "orders").where("o_orderkey < 3000").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("claim"))
+    return _unclaimed(spark, d, table(spark, d, "orders").where("o_orderkey < 3000"))
+
+
+@query()
+def duplicate_claims_dropped_all(spark, d):
+    """Claims of all orders."""
+    return _unclaimed(spark, d, table(spark, d, "orders"))
+
+
+def _unclaimed(spark, d, orders):
+    m = orders.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("claim"))
     held = table(spark, d, "customer").where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("claim"))
     return selection.unclaimed_twice(m, held, "claim").select("k", "claim")
 
@@ -129,7 +139,15 @@ def platform_summary(spark, d):
     """SELECT e.event_id, c.c_name, n.n_name FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey WHERE e.event_id % 10 = 0"""
 )
 def reports_left_joins(spark, d):
-    e = table(spark, d, "events").where("event_id % 10 = 0")
+    return _reports(spark, d, table(spark, d, "events").where("event_id % 10 = 0"))
+
+
+@query()
+def reports_left_joins_all(spark, d):
+    return _reports(spark, d, table(spark, d, "events"))
+
+
+def _reports(spark, d, e):
     c = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
     n = table(spark, d, "nation").select("n_nationkey", "n_name")
     return e.join(c, F.col("user_id") == F.col("c_custkey"), "left").join(n, F.col("n_nationkey") == F.col("c_nationkey"), "left").select("event_id", "c_name", "n_name")
@@ -143,5 +161,14 @@ def semi_anti_exclusion(spark, d):
 
 @query("SELECT event_id, CASE WHEN value >= 60 THEN (floor(value)::INT // 60) || ':' || lpad((floor(value)::INT % 60)::VARCHAR, 2, '0') ELSE '0:' || lpad(floor(value)::INT::VARCHAR, 2, '0') END AS clock, strftime(ts, '%b ') || day(ts) || ', ' || year(ts) AS date FROM events WHERE value < 3600")
 def clock_and_date_formats(spark, d):
-    e = table(spark, d, "events").where("value < 3600")
+    return _clock_date(table(spark, d, "events").where("value < 3600"))
+
+
+@query()
+def clock_and_date_formats_all(spark, d):
+    """All events, also those of an hour on."""
+    return _clock_date(table(spark, d, "events"))
+
+
+def _clock_date(e):
     return e.select("event_id", T.clock(F.floor("value")).alias("clock"), F.date_format("ts", "MMM d, yyyy").alias("date"))

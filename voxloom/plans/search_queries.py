@@ -210,13 +210,14 @@ def smart_search_debug(spark, d):
 _HITS = "SELECT user_id AS episode, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank, ((epoch_us(ts) // 1000) - 1704067200000) // 60 AS hit_ms, event_id AS id FROM events WHERE event_type = 'click' QUALIFY rank <= 40"
 
 
-def _hits(spark, d):
+def _hits(spark, d, top=40):
     from pyspark.sql.window import Window
 
     rows = table(spark, d, "events").where("event_type = 'click'")
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id"))
     ms = F.floor((F.unix_millis(F.col("ts").cast("timestamp")) - 1704067200000) / 60)
-    return rows.select(F.col("user_id").alias("episode"), rank.alias("rank"), ms.alias("hit_ms"), F.col("event_id").alias("id")).where("rank <= 40")
+    rows = rows.select(F.col("user_id").alias("episode"), rank.alias("rank"), ms.alias("hit_ms"), F.col("event_id").alias("id"))
+    return rows if top is None else rows.where(f"rank <= {top}")
 
 
 @query(
@@ -237,13 +238,33 @@ def collapse_folded(spark, d):
     return ranking.collapse(_hits(spark, d)).withColumn("folded", F.array_join("folded", ","))
 
 
+@query()
+def collapse_greedy_all(spark, d):
+    """All click hits of every user."""
+    return ranking.collapse(_hits(spark, d, None)).select("episode", "id")
+
+
+@query()
+def collapse_folded_all(spark, d):
+    return ranking.collapse(_hits(spark, d, None)).withColumn("folded", F.array_join("folded", ","))
+
+
 @query(
     """WITH h AS (SELECT user_id AS episode, event_id AS rank, (epoch_us(ts) // 1000) AS hit_ms, event_id AS id FROM events WHERE event_id < 400),
  m AS (SELECT *, sum(coalesce((lag_e <> episode)::INT, 1)) OVER (ORDER BY rank) AS card FROM (SELECT *, lag(episode) OVER (ORDER BY rank) AS lag_e FROM h))
  SELECT card::BIGINT AS card, episode, array_to_string(list(id ORDER BY hit_ms, id), ',') AS ids, min(rank) AS first_rank FROM m GROUP BY card, episode"""
 )
 def cards_islands(spark, d):
-    rows = table(spark, d, "events").where("event_id < 400").select(F.col("user_id").alias("episode"), F.col("event_id").alias("rank"), F.unix_millis(F.col("ts").cast("timestamp")).alias("hit_ms"), F.col("event_id").alias("id"))
+    return _cards(table(spark, d, "events").where("event_id < 400"))
+
+
+@query()
+def cards_islands_all(spark, d):
+    return _cards(table(spark, d, "events"))
+
+
+def _cards(events):
+    rows = events.select(F.col("user_id").alias("episode"), F.col("event_id").alias("rank"), F.unix_millis(F.col("ts").cast("timestamp")).alias("hit_ms"), F.col("event_id").alias("id"))
     return ranking.cards(rows).withColumn("ids", F.array_join("ids", ","))
 
 
@@ -252,7 +273,16 @@ def cards_islands(spark, d):
  SELECT id, row_number() OVER (ORDER BY score IS NULL, score DESC, rank)::INT AS new_rank FROM s"""
 )
 def rerank_order(spark, d):
-    rows = table(spark, d, "events").where("event_id < 60").select(F.col("event_id").alias("id"), F.col("event_id").alias("rank"), F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("score"))
+    return _reranked(table(spark, d, "events").where("event_id < 60"))
+
+
+@query()
+def rerank_order_all(spark, d):
+    return _reranked(table(spark, d, "events"))
+
+
+def _reranked(events):
+    rows = events.select(F.col("event_id").alias("id"), F.col("event_id").alias("rank"), F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("score"))
     return ranking.rerank_order(rows).select("id", "new_rank")
 
 

@@ -149,15 +149,15 @@ ITEMS = """items AS (SELECT user_id % 40 AS case_id, event_id AS ord, user_id AS
   CASE WHEN timed > 0 THEN coalesce(near, 0) / timed END AS time_hit FROM n LEFT JOIN r USING (case_id) LEFT JOIN dc USING (case_id))"""
 
 
-def _scores(spark, d):
+def _scores(spark, d, whole=False):
     from pyspark.sql.window import Window
 
     e = table(spark, d, "events").select("event_id", "user_id", "value", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
     case = (F.col("user_id") % 40).alias("case_id")
-    items = e.where("event_id < 160").select(case, F.col("event_id").alias("ord"), F.col("user_id").alias("episode"), F.when(F.col("event_id") % 3 != 0, F.col("ms")).alias("at_ms"))
+    items = (e if whole else e.where("event_id < 160")).select(case, F.col("event_id").alias("ord"), F.col("user_id").alias("episode"), F.when(F.col("event_id") % 3 != 0, F.col("ms")).alias("at_ms"))
     rank = F.row_number().over(Window.partitionBy(F.col("user_id") % 40, F.col("event_id") % 2).orderBy(F.desc("value"), "event_id"))
     mode = F.when(F.col("event_id") % 2 == 0, "exact").otherwise("related")
-    answers = e.where("event_id < 1200").select(case, mode.alias("mode"), F.col("user_id").alias("episode"), (F.col("ms") + 20000).alias("hit_ms"), rank.alias("rank"))
+    answers = (e if whole else e.where("event_id < 1200")).select(case, mode.alias("mode"), F.col("user_id").alias("episode"), (F.col("ms") + 20000).alias("hit_ms"), rank.alias("rank"))
     return evaluation.score_cases(items, answers)
 
 
@@ -167,7 +167,17 @@ def _tags(spark):
 
 @query(f"WITH {ITEMS} SELECT case_id, round(recall, 9) AS recall, round(mrr, 9) AS mrr, round(ndcg, 9) AS ndcg, round(time_hit, 9) AS time_hit FROM sc")
 def eval_recall_mrr_ndcg(spark, d):
-    return _scores(spark, d).select("case_id", *[F.round(c, 9).alias(c) for c in ("recall", "mrr", "ndcg", "time_hit")])
+    return _rounded(_scores(spark, d))
+
+
+@query()
+def eval_recall_mrr_ndcg_all(spark, d):
+    """All events are items and answers."""
+    return _rounded(_scores(spark, d, True))
+
+
+def _rounded(scores):
+    return scores.select("case_id", *[F.round(c, 9).alias(c) for c in ("recall", "mrr", "ndcg", "time_hit")])
 
 
 _TAG = "(SELECT *, CASE WHEN case_id % 3 = 0 THEN 'jargon' ELSE 'exact' END AS tag FROM sc)"
@@ -178,18 +188,41 @@ def eval_rollup(spark, d):
     return evaluation.summary(_scores(spark, d), _tags(spark))
 
 
+@query()
+def eval_rollup_all(spark, d):
+    return evaluation.summary(_scores(spark, d, True), _tags(spark))
+
+
 @query(
     f"""WITH {ITEMS}, m AS (SELECT tag, round_even(avg(mrr), 4) AS v FROM {_TAG} GROUP BY ROLLUP (tag)) SELECT tag, 'mrr' AS metric, round(v + 0.05, 6) AS was, round(v, 6) AS is_now FROM m"""
 )
 def eval_regressions(spark, d):
-    now = evaluation.summary(_scores(spark, d), _tags(spark))
+    return _regressed(evaluation.summary(_scores(spark, d), _tags(spark)))
+
+
+@query()
+def eval_regressions_all(spark, d):
+    return _regressed(evaluation.summary(_scores(spark, d, True), _tags(spark)))
+
+
+def _regressed(now):
     out = evaluation.regressions(now, now.withColumn("mrr", F.col("mrr") + 0.05).withColumn("recall", F.col("recall") + 0.01))
     return out.select("tag", "metric", F.round("was", 6).alias("was"), F.round("is_now", 6).alias("is_now"))
 
 
 @query("SELECT page_id, regexp_replace(url, '[?#].*$', '') AS base, CASE WHEN page_id >= 60 THEN page_id // 60 || ':' || lpad((page_id % 60)::VARCHAR, 2, '0') ELSE '0:' || lpad(page_id::VARCHAR, 2, '0') END AS clock FROM pages WHERE page_id < 3600")
 def url_and_clock(spark, d):
-    return table(spark, d, "pages").where("page_id < 3600").select("page_id", T.base_url(F.col("url")).alias("base"), T.clock(F.col("page_id")).alias("clock"))
+    return _url_clock(table(spark, d, "pages").where("page_id < 3600"))
+
+
+@query()
+def url_and_clock_all(spark, d):
+    """All pages, also those of an hour on."""
+    return _url_clock(table(spark, d, "pages"))
+
+
+def _url_clock(pages):
+    return pages.select("page_id", T.base_url(F.col("url")).alias("base"), T.clock(F.col("page_id")).alias("clock"))
 
 
 @query(
