@@ -111,3 +111,13 @@ def test_quotes(spark):
     assert got[2, 0].n_quotes == got[2, 0].n_linked == 2 and got[4, 0].n_linked == 0
     assert quotes.link_quotes(d.limit(0)).collect() == []
     assert [r.content for r in quotes.conversations(quotes.link_quotes(d)).where("root_conv = 1").orderBy("position").collect()][-1] == "Thanks"
+
+
+def test_quotes_link_inside_their_conversation_first(spark):
+    hello = "Good morning, how can I help you?"
+    rows = [(1, 1, "assistant", hello), (1, 2, "user", "Nothing today."), (2, 1, "assistant", hello), (2, 2, "user", "One moment please."), (2, 3, "user", f"> {hello}\nMy order is late."), (2, 4, "assistant", "Sorry."), (3, 1, "user", f"> {hello}\nCopied here.")]
+    got = {(r.conv_id, r.turn): r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    parent = {k: (r.parent_conv, r.parent_turn) for k, r in got.items()}
+    assert parent[2, 3] == (2, 1) and parent[3, 1] == (1, 1)
+    assert {(r.root_conv, r.root_turn) for k, r in got.items() if k[0] == 2} == {(2, 1)}
+    assert (got[2, 4].depth, got[2, 4].n_linked, got[2, 3].n_linked) == (2, 0, 1)

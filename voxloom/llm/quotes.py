@@ -2,8 +2,9 @@
 
 A message's lines carry a quote level (its leading ``>`` marks).  Runs of quoted lines are split
 into passages by level, normalised and hashed; so are the paragraphs that messages wrote
-themselves.  A quoted passage is linked to the earliest message that wrote it before.  The reply's
-parent is the source of its shallowest quote, or else the turn before it in the conversation.
+themselves.  A quoted passage is linked to the earliest message of its own conversation that wrote
+it before, and only where there is none to the earliest of all.  The reply's parent is the source of
+its shallowest quote, or else the turn before it in the conversation.
 """
 
 from __future__ import annotations
@@ -50,8 +51,9 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     ``own_text`` is the message without quoted lines; ``parent`` the message replied to, ``root`` the
     first of its chain, ``depth`` the replies up to it and ``position`` the place in the root's
     conversation, by depth, conversation and turn.  A quote links only to a message before it
-    (lower (conv_id, turn)); among several sources the earliest wins, so a passage that many
-    messages hold is one row on its side of the join.  Null texts are empty; rows with a null conv_id or
+    (lower (conv_id, turn)); among several sources the earliest of the same conversation wins, then the
+    earliest of all, so a passage that many messages hold is one row per conversation on its side of
+    the first join and one on the second.  Null texts are empty; rows with a null conv_id or
     turn are left out; repeated (conv_id, turn) rows are one message, its least text standing.
     """
     rows = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
@@ -62,12 +64,16 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     at = F.struct("conv_id", "turn").alias("at")
     parts = rows.select(at, F.explode("parts").alias("p")).select("at", "p.level", _plain(F.col("p.text")).alias("norm")).where(F.char_length("norm") >= MIN_CHARS)
     parts = parts.select("at", "level", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"))
-    sources = parts.where("level = 0").groupBy("h1", "h2").agg(F.min("at").alias("source"))
-    quotes = parts.where("level > 0").join(sources, ["h1", "h2"], "left")
+    parts = parts.withColumn("conv", F.col("at.conv_id"))
+    inside = parts.where("level = 0").groupBy("conv", "h1", "h2").agg(F.min("at").alias("near"))
+    sources = inside.groupBy("h1", "h2").agg(F.min("near").alias("far"))
+    quotes = parts.where("level > 0").join(inside, ["conv", "h1", "h2"], "left").join(sources, ["h1", "h2"], "left")
+    foreign = ~F.coalesce(F.col("near") < F.col("at"), F.lit(False))
+    quotes = quotes.select("at", "level", foreign.alias("foreign"), F.when(foreign, F.col("far")).otherwise(F.col("near")).alias("source"))
     before = F.col("source") < F.col("at")
     linked = quotes.groupBy("at").agg(
         F.count("*").alias("n_quotes"), F.count(F.when(before, 1)).alias("n_linked"),
-        F.min(F.when(before, F.struct("level", "source"))).alias("best"),
+        F.min(F.when(before, F.struct("level", "foreign", "source"))).alias("best"),
     )
     turns = Window.partitionBy("conv_id").orderBy("turn")
     nodes = rows.select("conv_id", "turn", at, F.lag("turn").over(turns).alias("prior"))
