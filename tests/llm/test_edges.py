@@ -121,3 +121,10 @@ def test_quotes_link_inside_their_conversation_first(spark):
     assert parent[2, 3] == (2, 1) and parent[3, 1] == (1, 1)
     assert {(r.root_conv, r.root_turn) for k, r in got.items() if k[0] == 2} == {(2, 1)}
     assert (got[2, 4].depth, got[2, 4].n_linked, got[2, 3].n_linked) == (2, 0, 1)
+
+
+def test_reply_chains_of_any_length(spark, monkeypatch):
+    monkeypatch.setattr(quotes, "ROUNDS", 2, raising=False)  # no number of rounds may bound a chain
+    rows = [(1, k, "user", "x") for k in range(40)]
+    got = quotes.link_quotes(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
+    assert all((r.root_turn, r.depth, r.position) == (0, r.turn, r.turn) for r in got) and len(got) == 40

@@ -17,8 +17,6 @@ from .shared import write_table
 
 #: Shorter passages (normalised) are not linked: greetings would link everything.
 MIN_CHARS = 16
-#: Jumps double per round, so a reply chain of 2 ** ROUNDS messages gets its depth.
-ROUNDS = 24
 MARKS = r"^(?:[ \t]?>)+ ?"
 
 
@@ -82,13 +80,13 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     nodes = write_table(nodes.select("at", F.coalesce("n_quotes", F.lit(0)).cast("bigint").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"), parent.alias("parent")), "replies")
     # pointer jumping: in each round a node whose ancestor is no root yet learns of one twice as far
     jump = write_table(nodes.select("at", F.coalesce("parent", "at").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("depth"), F.col("parent").isNotNull().alias("open")), "jump-0")
-    for k in range(1, ROUNDS + 1):
+    k = 0
+    while not jump.where("open").isEmpty():
+        k += 1
         far = jump.select(F.col("at").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
         moved = jump.where("open").select("at", "up", "depth").join(far, "up")
         moved = moved.select("at", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("d2") > 0).alias("open"))
         jump = write_table(jump.where("NOT open").unionByName(moved), f"jump-{k}")
-        if jump.where("open").isEmpty():
-            break
     out = rows.drop("parts").withColumn("at", F.struct("conv_id", "turn")).join(nodes, "at").join(jump.select("at", F.col("up").alias("root"), "depth"), "at")
     order = Window.partitionBy("root").orderBy("depth", "conv_id", "turn")
     return out.select(
