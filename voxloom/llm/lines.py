@@ -1,14 +1,18 @@
-"""Fuzzy line dedup: character shingles, MinHash bands, exact Jaccard check, union-find.
-
-Only DataFrame functions.  A line's signature comes from the hashes of all its 12-character shingles
-in sorted order: the hash space has 16 equal parts, and each part's band is the ROWS smallest hashes
-from the first one in that part on.  Two lines share a band with a chance near J ** ROWS, so at
-similarity 0.8 all 16 bands differ with a chance of 2e-3, at 0.9 of 1e-6.  Candidates are compared
-exactly, on all their shingles whatever their length.
+"""Fuzzy line dedup: character-shingle signatures, MinHash bands, exact Jaccard check, union-find.
+
+Only DataFrame functions.  A line's signature holds twelve MinHash values of all its shingles of 12
+bytes: four independent 32-bit hashes, each ordered three ways (xor with a constant).  Generated code takes
+four shingles a row into a map-side aggregate, so neither a line's length nor its copies matter.  The
+values form three groups, one of each hash; a band is three of a group's four.  At similarity s a group has a
+band in common with chance p = s^4 + 4 s^3 (1 - s), so a pair is missed with chance (1 - p)^3: 0.6 % at
+0.8, 0.01 % at 0.9, less for small sets.  Candidates whose signatures agree in AGREE of twelve places
+are compared exactly, on all shingles of 12 characters (at 0.8 fewer agree with a chance of 0.4 %).
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,81 +21,101 @@ from .shared import components, write_table
 #: Shorter lines are never removed.
 MIN_CHARS = 20
 PERCENT = 80
-ROWS = 5
-#: Characters in a shingle.
+#: Characters (in signatures, UTF-8 bytes) in a shingle.
 WIDTH = 12
+#: Independent hashes, orders of each, and shingles a row of the signing code.
+HASHES, ORDERS, UNROLL = 4, 3, 4
+MINS = HASHES * ORDERS
+#: Places in which the signatures of compared lines agree, at least.
+AGREE = 6
 #: Lines in a block of the completing comparison.
 BLOCK = 128
-#: Tables of documents or lines are broadcast up to so many rows; beyond, joins shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Tables are broadcast up to so many bytes, counted from their rows; beyond, joins shuffle.
+BROADCAST_BYTES = 48 << 20
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """The table, written; to be broadcast if its counted rows are few."""
+def _small(df: DataFrame, row_bytes: int, items: str = "0") -> DataFrame:
+    """The table, written; to be broadcast if it is small: ``row_bytes`` a row and 8 for each of ``items``."""
     df = write_table(df, "lines-side")
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    size = df.agg(F.coalesce(F.sum(F.expr(f"bigint({items})")) * 8 + F.count("*") * row_bytes, F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
-def normal(line: Column) -> Column:
-    return F.lower(F.trim(line))
+def _lines(docs: DataFrame, text: str) -> DataFrame:
+    """Rows (doc_id, no, line): the lines long enough, lower-cased and trimmed, numbered from 0."""
+    split = F.split(F.lower(F.col(text).cast("string")), "\n")
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(split).alias("no", "line"))
+    return rows.select("doc_id", "no", F.trim("line").alias("line")).where(F.char_length("line") >= MIN_CHARS)
 
 
-def _shingles(line: str, of: str) -> Column:
-    """SQL ``of`` with each shingle as ``{x}`` (UTF-32 bytes) of a line, in order of place.
+def _shingles_sql(line: str) -> str:
+    """SQL: distinct 64-bit hashes of a line's shingles, by code points.
 
     The bytes are bound to a lambda's variable, so they are made once, and each is cut out in constant time.
     """
-    x = f"substring(w, 4 * i + 1, {4 * WIDTH})"
-    return F.expr(f"transform(array(encode({line}, 'UTF-32')), w -> transform(IF(length(w) >= {4 * WIDTH}, sequence(0, length(w) div 4 - {WIDTH}), array()), i -> {of.format(x=x)}))[0]")
+    every = f"transform(sequence(0, greatest(0, length(w) div 4 - {WIDTH})), i -> xxhash64(substring(w, 4 * i + 1, {4 * WIDTH})))"
+    return f"array_distinct(transform(array(encode({line}, 'UTF-32')), w -> {every})[0])"
+
 
+def _shingles(line: str) -> Column:
+    return F.expr(_shingles_sql(line))
 
-def _bands(column: str) -> str:
-    """SQL of the band keys of a column of sorted hashes.
 
-    The column is named, never inlined: a lambda would evaluate an expression for each element.
+def signatures(lines: DataFrame) -> DataFrame:
+    """Rows (h1, m0 .. m11) of the distinct lines in ``lines`` (line).
+
+    UNROLL shingles share a row, the last ones standing in for those past the end.
     """
-    first = f"i = 0 OR shiftright({column}[i - 1], 28) <> shiftright(h, 28)"
-    run = f"IF(i + {ROWS} <= size({column}), slice({column}, i + 1, {ROWS}), slice(concat(slice({column}, i + 1, {ROWS}), slice({column}, 1, {ROWS})), 1, {ROWS}))"
-    return f"filter(transform({column}, (h, i) -> IF({first}, xxhash64(shiftright(h, 28), {run}), NULL)), k -> k IS NOT NULL)"
+    rows = lines.select(F.xxhash64("line").alias("h1"), F.col("line").cast("binary").alias("w"))
+    rows = rows.select("h1", "w", F.expr(f"greatest(0, length(w) - {WIDTH})").alias("last"))
+    rows = rows.select("h1", "w", "last", F.explode(F.expr(f"sequence(0, last, {UNROLL})")).alias("i"))
+    rows = rows.select("h1", *[F.expr(f"xxhash64(substring(w, least(i + {u}, last) + 1, {WIDTH}))").alias(f"x0_{u}") for u in range(UNROLL)])
+    for k in range(1, HASHES // 2):
+        rows = rows.select("*", *[F.xxhash64(f"x{k - 1}_{u}").alias(f"x{k}_{u}") for u in range(UNROLL)])
+    halves = ("int(shiftright({x}, 32))", "int(shiftright(shiftleft({x}, 32), 32))")
+    rows = rows.select("h1", *[F.expr(halves[s % 2].format(x=f"x{s // 2}_{u}")).alias(f"v{s}_{u}") for s in range(HASHES) for u in range(UNROLL)])
+    least = [F.expr(f"min(least({', '.join(f'v{s}_{u} ^ ({_order(p)})' for u in range(UNROLL))}))") for p in range(ORDERS) for s in range(HASHES)]
+    return rows.groupBy("h1").agg(*[m.alias(f"m{k}") for k, m in enumerate(least)])
 
 
-def line_table(docs: DataFrame, text: str) -> DataFrame:
-    """Lines long enough: doc_id, no (from 0), h1, h2 (128-bit hash), keys."""
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("no", "line"))
-    rows = rows.select("doc_id", "no", normal(F.col("line")).alias("line")).where(F.char_length("line") >= MIN_CHARS)
-    hashes = F.sort_array(F.array_distinct(_shingles("line", "hash({x})"))).alias("hashes")
-    rows = rows.select("doc_id", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), hashes)
-    return rows.select("doc_id", "no", "h1", "h2", F.expr(_bands("hashes")).alias("keys"))
+def _order(p: int) -> int:
+    """A 32-bit constant whose first two bits are ``p``; the least value xor it is that nearest to it."""
+    bits = (p << 30) | (0x9E3779B9 * (p + 1) & 0x3FFFFFFF)
+    return bits - (1 << 32) if bits >> 31 else bits
 
 
-def _texts(ids: DataFrame, firsts: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """Rows (h1, line) of the lines in ``ids`` (h1), read where each first stands."""
-    places = firsts.join(ids, "h1").groupBy(F.col("at.doc_id").alias("_doc")).agg(F.collect_list(F.struct(F.col("at.no").alias("no"), "h1")).alias("_need"))
-    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.split(F.col(text).cast("string"), "\n").alias("lines")).join(_small(places), F.col("doc_id") == F.col("_doc"))
-    return found.select(F.explode(F.expr("transform(_need, x -> struct(x.h1 AS h1, lines[x.no] AS line))")).alias("x")).select("x.h1", normal(F.col("x.line")).alias("line"))
+def _banded(signed: DataFrame) -> DataFrame:
+    """Rows (key, h1): a key for each three of the four values of a group."""
+    threes = [c for g in range(ORDERS) for c in combinations(range(HASHES * g, HASHES * (g + 1)), 3)]
+    keys = [F.xxhash64(F.lit(k), *[f"m{i}" for i in c]) for k, c in enumerate(threes)]
+    return signed.select(F.explode(F.array(*keys)).alias("key"), "h1")
 
 
-def _like(x: str, y: str, percent: int) -> str:
-    """SQL: whether the sets ``s`` of two structs reach the similarity."""
-    fits = f"100 * least(size({x}.s), size({y}.s)) >= {percent} * greatest(size({x}.s), size({y}.s))"
-    near = f"exists(array(size(array_intersect({x}.s, {y}.s))), i -> i > 0 AND 100 * i >= {percent} * (size({x}.s) + size({y}.s) - i))"
-    return f"{fits} AND {near}"
+def _agree(x: str, y: str) -> str:
+    return " + ".join(f"int({x}.m{k} = {y}.m{k})" for k in range(MINS)) + f" >= {AGREE}"
 
 
-def _with_sets(lines: DataFrame) -> DataFrame:
-    """Adds the set that lines are compared on: 64-bit hashes of all shingles."""
-    return lines.select("h1", F.struct("h1", F.array_distinct(_shingles("line", "xxhash64({x})")).alias("s")).alias("v"))
+def _texts(touched: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """Rows (at, m, line) of the lines that stand first at ``at`` (doc_id, no)."""
+    places = _small(touched.select(F.col("at.doc_id").alias("d"), F.col("at.no").alias("n")), 48)
+    found = _lines(docs, text).join(places, (F.col("doc_id") == F.col("d")) & (F.col("no") == F.col("n")))
+    found = found.select(F.struct("doc_id", "no").alias("at"), "line").dropDuplicates(["at"])
+    return found.join(touched, "at").select("at", "m", "line")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of lines whose shingle sets reach the similarity."""
-    a, b = texts.select(F.col("h1").alias("a"), F.col("line").alias("la")), texts.select(F.col("h1").alias("b"), F.col("line").alias("lb"))
-    both = pairs.join(a, "a").join(b, "b")
-    sets = (F.array_distinct(_shingles(c, "hex({x})")).alias(s) for c, s in (("la", "sa"), ("lb", "sb")))
-    # one expression, its sets bound to a lambda's variable: a filter would evaluate columns again
-    counts = F.transform(F.array(F.struct(*sets)), lambda x: F.struct((F.size(x["sa"]) + F.size(x["sb"])).alias("n"), F.size(F.array_intersect(x["sa"], x["sb"])).alias("i")))
-    hit = F.exists(counts, lambda c: (c["i"] > 0) & (100 * c["i"] >= percent * (c["n"] - c["i"])))
-    return both.where(hit).select("a", "b")
+    a, b = (texts.select(F.col("at").alias(x), F.col("m").alias(f"m{x}"), F.col("line").alias(f"l{x}")) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b").where(_agree("ma", "mb"))
+    sets = both.select("a", "b", _shingles("la").alias("s"), _shingles("lb").alias("t"))
+    # in a generator, not a filter: that would be pushed down and make the sets again for each mention
+    hit = f"100 * least(size(s), size(t)) >= {percent} * greatest(size(s), size(t)) AND {_near('s', 't', percent)}"
+    return sets.select("a", "b", F.explode(F.expr(f"IF({hit}, array(1), CAST(array() AS array<int>))"))).select("a", "b")
+
+
+def _near(s: str, t: str, percent: int) -> str:
+    """SQL: whether two sets, not both empty, reach the similarity."""
+    return f"{100 + percent} * size(array_intersect({s}, {t})) >= {percent} * (size({s}) + size({t}))"
 
 
 def _across(shared: DataFrame, labels: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -99,23 +123,33 @@ def _across(shared: DataFrame, labels: DataFrame, texts: DataFrame, percent: int
 
     In a bucket with several components the one with most members is its base; under each base the
     members of others (``light``) meet all members of those buckets.  Both sides are dealt into blocks of
-    about BLOCK lines and a block's pairs are compared inside one row, each line's set made once, so only
-    links become rows.
+    about BLOCK lines.  A block's pairs are compared inside one row, first by signature; a line's set is
+    made once, if a pair needs it, and only links become rows.
     """
-    known = shared.join(labels, shared["h1"] == labels["id"], "left").select("key", "h1", F.coalesce("component", "h1").alias("comp"))
+    known = shared.join(labels, shared["at"] == labels["id"], "left").select("key", "at", F.coalesce("component", "at").alias("comp"))
     known = write_table(known, "line-members")
     per = known.groupBy("key", "comp").agg(F.count("*").alias("c"))
     mixed = per.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("k")).where("k > 1")
-    under = known.join(mixed.select("key", F.col("m.comp").alias("base")), "key").select("base", "h1", "comp", (F.col("comp") != F.col("base")).alias("light")).distinct()
+    under = known.join(mixed.select("key", F.col("m.comp").alias("base")), "key").select("base", "at", "comp", (F.col("comp") != F.col("base")).alias("light")).distinct()
     under = write_table(under, "line-mixed")
     size = under.groupBy("base").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cols"), F.ceil(F.count(F.when(F.col("light"), 1)) / BLOCK).cast("int").alias("rows"))
     dealt = under.join(size, "base")
-    light = dealt.where("light").select("base", "h1", "comp", F.pmod(F.xxhash64("h1", F.lit(1)), "rows").cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"), F.lit(True).alias("light"))
-    every = dealt.select("base", "h1", "comp", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), F.pmod(F.xxhash64("h1", F.lit(2)), "cols").cast("int").alias("c"), F.lit(False).alias("light"))
-    item = F.struct("comp", "v.h1", "v.s")
-    placed = light.unionByName(every).join(_with_sets(texts), "h1")
+    light = dealt.where("light").select("base", "at", "comp", F.pmod(F.xxhash64("at", F.lit(1)), "rows").cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"), F.lit(True).alias("light"))
+    every = dealt.select("base", "at", "comp", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), F.pmod(F.xxhash64("at", F.lit(2)), "cols").cast("int").alias("c"), F.lit(False).alias("light"))
+    placed = light.unionByName(every).join(texts, "at")
+    item = F.struct("comp", "at", "m", "line")
     blocks = placed.groupBy("base", "r", "c").agg(F.collect_list(F.when(F.col("light"), item)).alias("xs"), F.collect_list(F.when(~F.col("light"), item)).alias("ys"))
-    links = f"flatten(transform(xs, x -> transform(filter(ys, y -> y.comp <> x.comp AND {_like('x', 'y', percent)}), y -> named_struct('a', x.h1, 'b', y.h1))))"
+    may = f"y.comp <> x.comp AND {_agree('x.m', 'y.m')}"
+    made = "transform({0}, {1} -> named_struct('comp', {1}.comp, 'at', {1}.at, 'm', {1}.m, 's', IF(exists({2}, {3} -> " + may + "), {4}, array())))"
+    blocks = blocks.select(F.expr(made.format("xs", "x", "ys", "y", _shingles_sql("x.line"))).alias("xs"), F.expr(made.format("ys", "y", "xs", "x", _shingles_sql("y.line"))).alias("ys"))
+    some = "transform(filter({0}, x -> size(x.s) > 0), x -> named_struct('comp', x.comp, 'at', x.at, 'm', x.m, 's', x.s, 'e', filter(x.s, h -> h & 3 = 0)))"
+    blocks = blocks.select(F.expr(some.format("xs")).alias("xs"), F.expr(some.format("ys")).alias("ys"))
+    # a quarter of the shingles tells first: four standard errors below the threshold rule a pair out
+    p = percent / 100
+    least = f"greatest(0D, {p}D - 4 * sqrt({p * (1 - p)}D / greatest(size(x.e), size(y.e), 1)))"
+    likely = f"(1 + {least}) * size(array_intersect(x.e, y.e)) >= {least} * (size(x.e) + size(y.e))"
+    fits = f"{may} AND 100 * least(size(x.s), size(y.s)) >= {percent} * greatest(size(x.s), size(y.s)) AND {likely} AND {_near('x.s', 'y.s', percent)}"
+    links = f"flatten(transform(xs, x -> transform(filter(ys, y -> {fits}), y -> named_struct('a', x.at, 'b', y.at))))"
     return blocks.select(F.explode(F.expr(links)).alias("l")).select("l.a", "l.b")
 
 
@@ -124,27 +158,29 @@ def duplicate_lines(docs: DataFrame, text: str = "text", percent: int = PERCENT)
 
     Lines are lower-cased and trimmed; those under MIN_CHARS characters are left alone.  Lines are
     linked when ``100 * |A & B| >= percent * |A | B|`` over all distinct shingles, and
-    each component keeps its first line by (doc_id, number).  Equal lines are one node from the
-    start; a bucket's members meet its pivot, and pairs of a bucket that stay apart after that are
-    compared in blocks.  Rows that share an id are one document; rows with a null id are left out.
+    each component keeps its first line by (doc_id, number).  Equal lines (128-bit hashes) are one node, named by
+    the place of the first; a bucket's members meet its earliest, and pairs of a bucket that stay apart
+    after that are compared in blocks.  A component's label is its first place, so nothing is
+    joined on components.  Rows that share an id are one document; rows with a null id are left out.
     """
-    rows = write_table(line_table(docs, text), "lines")
-    firsts = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "no")).alias("at"), F.count("*").alias("c"))
-    firsts = write_table(firsts.groupBy("h1").agg(F.min("at").alias("at"), F.sum("c").alias("c")), "line-firsts")
-    keyed = rows.select(F.explode("keys").alias("key"), "h1")
-    hot = keyed.groupBy("key").agg(F.min("h1").alias("pivot"), F.max("h1").alias("other")).where("pivot <> other").select("key", "pivot")
-    shared = write_table(keyed.join(_small(hot), "key").distinct(), "line-buckets")
-    pairs = write_table(shared.where("h1 <> pivot").select(F.col("pivot").alias("a"), F.col("h1").alias("b")).distinct(), "line-pairs")
-    texts = write_table(_texts(shared.select("h1").distinct(), firsts, docs, text), "line-texts")
+    rows = write_table(_lines(docs, text).select("doc_id", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")), "lines")
+    firsts = write_table(rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "no")).alias("at"), F.count("*").alias("c")), "line-firsts")
+    signed = write_table(signatures(_lines(docs, text)), "line-signatures")
+    keyed = _banded(signed)
+    hot = keyed.groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).where("least <> most").select("key")
+    shared = write_table(keyed.join(_small(hot, 24), "key").join(firsts.select("h1", "at"), "h1").select("key", "at", "h1"), "line-buckets")
+    touched = shared.select("at", "h1").distinct().join(signed.select("h1", F.struct(*[f"m{k}" for k in range(MINS)]).alias("m")), "h1").select("at", "m")
+    shared = shared.select("key", "at")
+    pivots = shared.groupBy("key").agg(F.min("at").alias("pivot"))
+    pairs = write_table(shared.join(pivots, "key").where("at <> pivot").select(F.col("pivot").alias("a"), F.col("at").alias("b")).distinct(), "line-pairs")
+    texts = write_table(_texts(write_table(touched, "line-touched"), docs, text), "line-texts")
     links = write_table(_verified(pairs, texts, percent), "line-links")
     labels = components(links, "line-star")
-    more = write_table(_across(shared.select("key", "h1"), labels, texts, percent), "line-more")
+    more = write_table(_across(shared, labels, texts, percent), "line-more")
     if not more.isEmpty():
         labels = components(links.union(more), "line-all")
-    grouped = firsts.join(labels, firsts["h1"] == labels["id"], "left").select("h1", "at", "c", "component")
-    first_of = grouped.where("component IS NOT NULL").groupBy("component").agg(F.min("at").alias("first"))
-    decided = grouped.where("c > 1 OR component IS NOT NULL").join(first_of, "component", "left").select("h1", F.coalesce("first", "at").alias("first"))
-    gone = rows.select("doc_id", "no", "h1").join(decided, "h1").where(F.struct("doc_id", "no") != F.col("first"))
+    decided = firsts.join(labels, firsts["at"] == labels["id"], "left").where("c > 1 OR component IS NOT NULL").select("h1", "h2", F.coalesce("component", "at").alias("first"))
+    gone = rows.join(decided, ["h1", "h2"]).where(F.struct("doc_id", "no") != F.col("first"))
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("no")).alias("gone"))
 
 
@@ -152,12 +188,16 @@ def dedup_lines(docs: DataFrame, text: str = "text", percent: int = PERCENT, emp
     """``docs`` with repeated lines taken out of the text; other columns as they were.
 
     A document of which nothing but blank lines is left is dropped (``empty="keep"`` keeps it).
-    Null texts and rows with null ids stay as they are.
+    Null texts and rows with null ids stay as they are.  Columns of any name are carried: the document
+    travels as one struct beside the lines to drop.
     """
-    gone = _small(duplicate_lines(docs, text, percent).select(F.col("doc_id").alias("_doc"), F.col("gone").alias("_gone")))
-    out = docs.join(gone, docs["doc_id"].cast("bigint") == F.col("_doc"), "left")
-    kept = F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains(F.col("_gone"), i))
-    out = out.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
+    gone = _small(duplicate_lines(docs, text, percent), 48, "size(gone)")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    both = whole.join(gone, F.col("doc.doc_id").cast("bigint") == F.col("doc_id"), "left")
+    old = F.col("doc")[text].cast("string")
+    kept = F.array_join(F.filter(F.split(old, "\n"), lambda line, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    new = F.when(F.col("gone").isNull(), old).otherwise(kept)
+    out = both.select("doc", F.col("gone").isNull().alias("whole"), new.alias("left"))
     if empty == "drop":
-        out = out.where(F.col("_gone").isNull() | F.coalesce(F.col(text), F.lit("")).rlike(r"\S"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        out = out.where(F.col("whole") | F.coalesce("left", F.lit("")).rlike(r"\S"))
+    return out.select(*[F.col("left").alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns])
