@@ -11,7 +11,7 @@ ROWS = [
     (1, " ".join(WORDS * 5), "en"), (2, None, "en"), (3, "", None), (None, " ".join(WORDS * 4), "en"), (5, " ".join(WORDS * 5), "en"),
     (5, " ".join(WORDS * 5), "en"), (7, LONG, "en"), (8, "\n\n \t", "de"), (9, "one", "xx"), (10, "é😀 ÀÉ one\x00two", None),
 ]
-CLASH = ["id", "key", "n", "kept", "component", "component_id", "rep", "k1", "_gone", "a", "b", "spans", "gone", "h1", "t", "f1", "group"]
+CLASH = ["_doc", "_spans", "_words", "_lead", "_gaps", "doc", "words", "id", "key", "n", "kept", "component", "component_id", "rep", "k1", "_gone", "a", "b", "spans", "gone", "h1", "t", "f1", "group"]
 
 
 @pytest.fixture(scope="module")
@@ -85,6 +85,13 @@ def test_packing_holds_every_token_once(spark, docs):
     assert packing.pack(docs.limit(0)).collect() == []
 
 
+def test_repeated_rows_spread_over_groups(spark):
+    rows = spark.range(20_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("same text").alias("text"))
+    out = packing.pack(rows, with_ids=False)
+    sizes = [r["count"] for r in out.groupBy(F.shiftright("sequence_id", 32).alias("g")).count().collect()]
+    assert sum(sizes) == 20_000 and len(sizes) == 5 and max(sizes) < 6_000
+
+
 def test_urls(spark):
     labels = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (2, None, None), (None, 0, 1)], "doc_id bigint, quality int, toxic int")
     rows = [(1, "HTTP://a.Example.COM/en/x?y"), (2, None), (None, "no scheme"), (4, "x://www.example.com/en/"), (4, "x://y.net/es/#z"), (5, "a://net/es"), (6, "u://x.com"), (7, "u://EXAMPLE.org?q=://b.net/es/")]
@@ -95,6 +102,11 @@ def test_urls(spark):
     assert (4, "y.net", "/es/", "net/es/", "block") in got
     assert {x[3] for x in got if x[0] in (2, None, 5, 6, 7)} == {None} and len(got) == len(rows)
     assert (7, "example.org", "", None, "allow") in got
+    # one bad label blocks its own host only once more pages confirm it, and never hosts without a label
+    many = spark.createDataFrame([(k, "u://bad.co.uk/a") for k in range(1, 13)] + [(k, f"u://h{k}.co.uk/a") for k in range(13, 40)] + [(99, None), (100, "u://" + "x" * 50_000 + ".com/")], "page_id bigint, url string")
+    marks = spark.createDataFrame([(k, 0, 1) for k in range(1, 13)] + [(k, 1, 0) for k in range(13, 26)], "doc_id bigint, quality int, toxic int")
+    verdict = {(r.host, r.verdict) for r in urls.judge(many, marks).collect()}
+    assert ("bad.co.uk", "block") in verdict and all(v == "allow" for h, v in verdict if h != "bad.co.uk")
     assert urls.judge(pages.limit(0), labels).collect() == [] and len(urls.judge(pages, labels.limit(0)).collect()) == len(rows)
 
 
@@ -123,6 +135,43 @@ def test_quotes_link_inside_their_conversation_first(spark):
     assert (got[2, 4].depth, got[2, 4].n_linked, got[2, 3].n_linked) == (2, 0, 1)
 
 
+def test_trimmed_and_nested_quotes_against_plain_python(spark):
+    """Made mail: quotes whole, trimmed to a sentence or wrapped anew, nested, tied, introduced; sources by search."""
+    import random
+    import re
+
+    r = random.Random(7)
+    word = lambda: "".join(r.choices("abcdeghiklmnorstu", k=r.randint(3, 8)))
+    sentence = lambda: " ".join(word() for _ in range(r.randint(5, 9))).capitalize() + "."
+    rows, paragraphs, want = [], {}, {}
+    for conv in range(12):
+        for turn in range(6):
+            own = " ".join(sentence() for _ in range(r.randint(1, 3)))
+            lines = []
+            if turn and r.random() < 0.7:
+                src = (conv, r.randrange(turn)) if r.random() < 0.7 or not conv else (r.randrange(conv), r.randrange(6))
+                quoted = paragraphs[src]
+                kind = r.choice(["whole", "trimmed", "wrapped"])
+                if kind == "trimmed":
+                    quoted = re.split(r"(?<=[.]) ", quoted)[-1]
+                if kind == "wrapped":
+                    ws = quoted.split(" ")
+                    quoted = "\n> ".join(" ".join(ws[k : k + 4]) for k in range(0, len(ws), 4))
+                lines += [f"On Monday {word()} wrote:", "> " + quoted, ""]
+                want[conv, turn] = src
+            paragraphs[conv, turn] = own
+            rows.append((conv, turn, "user", "\n".join([*lines, own])))
+    got = {(x.conv_id, x.turn): x for x in quotes.link_quotes(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    for at, x in got.items():
+        src = want.get(at)
+        parent = src or ((at[0], at[1] - 1) if at[1] else (None, None))
+        assert (x.parent_conv, x.parent_turn) == parent and x.own_text == paragraphs[at]
+        assert (x.n_quotes, x.n_linked) == ((1, 1) if src else (0, 0))
+    for root in {(x.root_conv, x.root_turn) for x in got.values()}:
+        tree = sorted((x.depth, *at) for at, x in got.items() if (x.root_conv, x.root_turn) == root)
+        assert [got[t[1:]].position for t in tree] == list(range(len(tree)))
+
+
 def test_reply_chains_of_any_length(spark, monkeypatch):
     monkeypatch.setattr(quotes, "ROUNDS", 2, raising=False)  # no number of rounds may bound a chain
     rows = [(1, k, "user", "x") for k in range(40)]

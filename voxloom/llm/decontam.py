@@ -123,21 +123,26 @@ def contamination(docs: DataFrame, bench: DataFrame, text: str = "text", item: s
     )
 
 
+def _carried(docs: DataFrame, text: str) -> DataFrame:
+    """Rows (doc, k1, k2): each row as one struct, so columns of any name are carried, and its key."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    t, d = F.coalesce(F.col("doc")[text].cast("string"), F.lit("")), F.coalesce(F.col("doc")["doc_id"].cast("string"), F.lit("null"))
+    return whole.select("doc", F.xxhash64(d, t).alias("k1"), F.xxhash64(F.lit(1), t, d).alias("k2"))
+
+
 def drop_contaminated(docs: DataFrame, bench: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without contaminated documents, all columns as they were."""
-    bad = contamination(docs, bench, text).where("contaminated").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
-    t, d = F.coalesce(docs[text].cast("string"), F.lit("")), F.coalesce(docs["doc_id"].cast("string"), F.lit("null"))
-    return docs.join(bad, (F.xxhash64(d, t) == F.col("_k1")) & (F.xxhash64(F.lit(1), t, d) == F.col("_k2")), "left_anti")
+    """``docs`` without contaminated documents, all columns as they were, whatever their names."""
+    bad = contamination(docs, bench, text).where("contaminated").select("k1", "k2").distinct()
+    kept = _carried(docs, text).join(bad, ["k1", "k2"], "left_anti")
+    return kept.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def cut_spans(docs: DataFrame, bench: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the words inside benchmark windows, and the gaps after them, taken out."""
+    """``docs`` with the words inside benchmark windows, and the gaps after them, taken out; other columns as they were."""
     _, hits = _hits(docs, bench, text, "item_id", "text")
-    hits = hits.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans").alias("_spans"))
-    t, d = F.coalesce(docs[text].cast("string"), F.lit("")), F.coalesce(docs["doc_id"].cast("string"), F.lit("null"))
-    out = docs.join(hits, (F.xxhash64(d, t) == F.col("_k1")) & (F.xxhash64(F.lit(1), t, d) == F.col("_k2")), "left")
-    out = out.withColumn("_words", F.array_remove(F.split(F.col(text), RAW_GAP), "")).withColumn("_lead", F.regexp_extract(text, "^" + RAW_GAP, 0))
-    out = out.withColumn("_gaps", F.regexp_extract_all(F.substring(F.col(text), F.char_length("_lead") + 1, F.lit(2**31 - 1)), F.lit(RAW_GAP), F.lit(0)))
-    kept = F.expr("transform(filter(sequence(0, size(_words) - 1), i -> NOT exists(_spans, s -> i >= s.pos AND i < s.pos + s.w)), i -> concat(_words[i], coalesce(get(_gaps, i), '')))")
-    cut = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(F.concat(F.col("_lead"), F.array_join(kept, "")))
-    return out.withColumn(text, cut).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = _carried(docs, text).join(hits.select("k1", "k2", "spans"), ["k1", "k2"], "left").withColumn("t", F.col("doc")[text].cast("string"))
+    out = out.withColumn("words", F.array_remove(F.split("t", RAW_GAP), "")).withColumn("lead", F.regexp_extract("t", "^" + RAW_GAP, 0))
+    out = out.withColumn("gaps", F.regexp_extract_all(F.substring(F.col("t"), F.char_length("lead") + 1, F.lit(2**31 - 1)), F.lit(RAW_GAP), F.lit(0)))
+    kept = F.expr("transform(filter(sequence(0, size(words) - 1), i -> NOT exists(spans, s -> i >= s.pos AND i < s.pos + s.w)), i -> concat(words[i], coalesce(get(gaps, i), '')))")
+    cut = F.when(F.col("spans").isNull(), F.col("t")).otherwise(F.concat(F.col("lead"), F.array_join(kept, "")))
+    return out.select(*[cut.alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns])

@@ -22,6 +22,8 @@ from .shared import fresh_path, write_table
 END, START = U(0x51ED270B7A2F4C01), U(0x2545F4914F6CDD1D)
 #: Distinct n-grams that a counting task holds before it sends them.
 HOLD = 3_000_000
+#: Text that a shard of the model stands for, at most; there are as many shards as shuffle partitions at least.
+SHARD_BYTES = 64 << 20
 ALPHA = 0.1
 
 
@@ -35,11 +37,11 @@ def local_path(path: str) -> str:
 
 
 def pack(keys: np.ndarray, *columns: np.ndarray) -> bytes:
-    """Sorted keys as differences, and columns under 2**32, by byte planes, compressed."""
+    """Sorted keys as differences, and columns, by byte planes, compressed (high planes of small counts cost nothing)."""
     import pyarrow as pa
 
     step = np.diff(keys, prepend=U(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
-    planes = [step.T.tobytes()] + [c.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns]
+    planes = [step.T.tobytes()] + [c.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns]
     return len(keys).to_bytes(8, "little") + pa.compress(b"".join(planes), "zstd", asbytes=True)
 
 
@@ -47,9 +49,9 @@ def unpack(blob: bytes, columns: int) -> tuple[np.ndarray, ...]:
     import pyarrow as pa
 
     n = int.from_bytes(blob[:8], "little")
-    raw = np.frombuffer(pa.decompress(blob[8:], n * (8 + 4 * columns), "zstd", asbytes=True), np.uint8)
+    raw = np.frombuffer(pa.decompress(blob[8:], n * (8 + 8 * columns), "zstd", asbytes=True), np.uint8)
     keys = np.cumsum(np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8").reshape(-1), dtype=U)
-    cols = [np.ascontiguousarray(raw[n * (8 + 4 * i) : n * (12 + 4 * i)].reshape(4, n).T).view("<u4").reshape(-1) for i in range(columns)]
+    cols = [np.ascontiguousarray(raw[n * (8 + 8 * i) : n * (16 + 8 * i)].reshape(8, n).T).view("<u8").reshape(-1) for i in range(columns)]
     return keys, *(c.astype(np.int64) for c in cols)
 
 
@@ -84,6 +86,15 @@ def mapped(path: str, dtype) -> np.ndarray:
     return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
 
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits, or in 64 where one needs them; ``mapped_counts`` tells by the file's size."""
+    return counts.astype(np.uint32 if not len(counts) or counts.max() < 1 << 32 else np.uint64)
+
+
+def mapped_counts(path: str, n: int) -> np.ndarray:
+    return mapped(path, np.uint64 if n and os.path.getsize(path) == 8 * n else np.uint32)
+
+
 def shard_of_hash(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> U(40)) * U(shards) >> U(24)).astype(np.int64)
 
@@ -218,8 +229,9 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     spark = docs.sparkSession
     folder = local_path(fresh_path(spark, "kneser"))
     os.makedirs(folder, exist_ok=True)
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(text).cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
 
     def unigrams(texts: Texts):
         cur = tokens_of(texts)[0]
@@ -270,7 +282,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         s = table.column("shard")[0].as_py()
         keys, count = merged(table.column("blob").to_pylist(), 1)
         save(f"{folder}/pair.{s}", keys)
-        save(f"{folder}/often.{s}", count.astype(np.uint32))
+        save(f"{folder}/often.{s}", narrow(count))
         first, second = keys >> U(32), keys & U(0xFFFFFFFF)
         one, two, more = ((count == 1).astype(np.int64), (count == 2).astype(np.int64), (count > 2).astype(np.int64))
         ctx = summed(first, count, one, two, more)
@@ -308,13 +320,13 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         n = sizes[s] + (1 if s == shards - 1 else 0)
         keys, *cols = merged([b for b, k in zip(blobs, kind, strict=True) if k == 0], 4)
         for name, c in zip(("sum", "one", "two", "more"), cols, strict=True):
-            full = np.zeros(n, np.uint32)
+            full = np.zeros(n, np.int64)
             full[(keys - U(base[s])).astype(np.int64)] = c
-            save(f"{folder}/{name}.{s}", full)
+            save(f"{folder}/{name}.{s}", narrow(full))
         keys, c = merged([b for b, k in zip(blobs, kind, strict=True) if k == 1], 1)
-        full = np.zeros(n, np.uint32)
+        full = np.zeros(n, np.int64)
         full[(keys - U(base[s])).astype(np.int64)] = c
-        save(f"{folder}/cont.{s}", full)
+        save(f"{folder}/cont.{s}", narrow(full))
         return pa.table({"shard": [s], "coc": [[int((full == k).sum()) for k in (1, 2, 3, 4)]], "pairs": [int(full.sum())], "types": [int((full > 0).sum())], "big": [[int(((full > 2)).sum())]]})
 
     got = parts.where("kind < 2").groupBy("shard").applyInArrow(keep_contexts, "shard bigint, coc array<bigint>, pairs bigint, types bigint, big array<bigint>").collect()
@@ -338,9 +350,10 @@ class Scorer:
         s = len(m.sizes)
         self.hot = np.array(m.hot)
         self.count = [mapped(f"{m.folder}/count.{i}", np.int64) for i in range(s)]
-        self.by_id = {name: [mapped(f"{m.folder}/{name}.{i}", np.uint32) for i in range(s)] for name in ("sum", "one", "two", "more", "cont")}
+        ids = [m.sizes[i] + (1 if i == s - 1 else 0) for i in range(s)]
+        self.by_id = {name: [mapped_counts(f"{m.folder}/{name}.{i}", ids[i]) for i in range(s)] for name in ("sum", "one", "two", "more", "cont")}
         self.pair = [mapped(f"{m.folder}/pair.{i}", U) for i in range(s)]
-        self.often = [mapped(f"{m.folder}/often.{i}", np.uint32) for i in range(s)]
+        self.often = [mapped_counts(f"{m.folder}/often.{i}", len(self.pair[i])) for i in range(s)]
 
     def gather(self, files: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
         """Values of sorted ids (0 where -1)."""

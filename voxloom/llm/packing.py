@@ -135,7 +135,8 @@ def pack(docs: DataFrame, text: str = "text", length: int = LENGTH, path: str |
     """Every token of every text, in sequences of at most ``length``: the pieces and their places.
 
     A document is its ids and one end id; it is cut at multiples of ``length`` and the pieces are
-    packed first-fit decreasing within random groups of about ``GROUP`` pieces.  Columns: those of
+    packed first-fit decreasing within random groups of about ``GROUP`` pieces, dealt by row, so that no
+    repeated id or text fills one.  Columns: those of
     ``token_pieces`` and sequence_id, offset.  A null or empty text is one piece, the end id.
     Rows are packed one by one: null or repeated ids and repeated rows lose nothing.  Full pieces
     are sequences of their own.  An empty table gives an empty result.
@@ -153,5 +154,6 @@ def pack(docs: DataFrame, text: str = "text", length: int = LENGTH, path: str |
         return out.append_column("sequence_id", pa.array((group << 32) | bins)).append_column("offset", pa.array(offset))
 
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids binary" * with_ids
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.lit(groups)))
+    # the row's place in the written table is the salt: repeated rows spread too, and a task run again deals alike
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), "ids_crc32"), F.lit(groups)))
     return dealt.groupBy("group").applyInArrow(run, schema + ", sequence_id bigint, offset bigint")

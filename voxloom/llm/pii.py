@@ -3,9 +3,10 @@ r"""Personal data: candidate generators, boosted trees on format and context, ca
 Only DataFrame functions touch the documents.  The four base kinds are found by pattern and check
 and always stay.  Further generators propose spans with high recall, overlaps included; each
 gets a score from boosted trees, which are fitted on generated, labelled texts (TRAIN_ROWS of
-them, their features taken by the same expressions) and written out as SQL; per-kind
-thresholds come from the calibrated scores of texts held out.  A proposal is selected if it passes,
-and overlaps no base span and no better proposal.
+them, their features taken by the same expressions) and written out as SQL.  Scores are calibrated by
+isotonic regression on texts from other generators, with other contexts and shapes, and a kind's
+threshold lies half way under the least score whose calibrated chance reaches PRECISION.  A proposal is selected if it
+passes, and overlaps no base span and no better proposal.
 
 Positions come from splitting at a pattern: gaps and matches alternate, so their lengths in code
 points add up.  The patterns are possessive and anchored at the start of a run (or the end of
@@ -33,12 +34,15 @@ MORE = {
     "tel": r"(?<![\w+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-])",
     "ssn": r"(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "credential": r"(?<=(?i:password|passwd|passphrase|passwort|pwd|secret|token|api[_ -]?key|access[_ -]?key|credentials?)[\"' ]{0,2}[=:][\"' ]{0,2})[^\s\"'<>,;]{6,200}",
     "mail": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,40} ?[\[(]at[\])] ?[A-Za-z0-9-]{2,40}(?: ?[\[(]dot[\])] ?[A-Za-z]{2,10}){1,3}",
 }
 KINDS = [*BASE, *MORE]
 SPAN = "array<struct<s:int,e:int,m:string>>"
-FEATURES = ["kind", "len", "digit", "upper", "lower", "punct", "mixed", "hex", "key", "assign", "tel_word", "id_word", "plain_word", "quote"]
-TRAIN_ROWS, TREES, RATE, PRECISION = 1600, 24, 0.3, 0.95
+FEATURES = ["kind", "len", "digit", "upper", "lower", "punct", "mixed", "hex", "key", "assign", "tel_word", "id_word", "plain_word", "quote", "words", "year"]
+TRAIN_ROWS, TREES, RATE, PRECISION = 2600, 24, 0.3, 0.9
+#: What a text must hold for credentials to be looked for.
+NAMED = r"(?i)(?:passw|passphrase|pwd|secret|token|key|credential)[^\n]{0,8}[=:]"
 KEY_WORDS = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api.?key|access.?key|credential|auth)\W{0,4}$"
 TEL_WORDS = r"(?i)(?:call|phone|tel|mobile|fax|cell|whatsapp)\W{0,4}(?:\w+\W{0,3}){0,2}$"
 ID_WORDS = r"(?i)(?:ssn|social security|tax id|iban|account|konto|compte|cuenta)\W{0,4}(?:\w+\W{0,3}){0,2}$"
@@ -88,50 +92,88 @@ def _features() -> str:
         "punct": share.format("[^A-Za-z0-9]"), "mixed": "int(x.m RLIKE '[0-9][A-Za-z]') + int(x.m RLIKE '[A-Za-z][0-9]')", "hex": "int(x.m RLIKE '^[0-9a-f]+$')",
         "key": f"int({before} RLIKE r\"{KEY_WORDS}\")", "assign": f"int({before} RLIKE '[=:] ?[\"\\']?$')", "tel_word": f"int({before} RLIKE r\"{TEL_WORDS}\")",
         "id_word": f"int({before} RLIKE r\"{ID_WORDS}\")", "plain_word": f"int({before} RLIKE r\"{PLAIN_WORDS}\")", "quote": f"int({before} RLIKE '[\"\\']$')",
+        "words": "int(x.m RLIKE '^[A-Z]?[a-z]+(?:[-_/.][A-Z]?[a-z]+|[-_/.][0-9]{1,4})*[-_/.]*$')", "year": "int(x.m RLIKE '(?:^|[^0-9])(?:19|20)[0-9]{2}(?:[^0-9]|$)')",
     }
     return "named_struct(" + ", ".join(f"'{k}', double({parts[k]})" for k in FEATURES) + ")"
 
 
-def _examples(seed: int, n: int) -> list[tuple[int, str, str, float]]:
-    """Generated texts (id, text, kind, label): one planted span each, in the middle of words."""
+#: Contexts of the generators: those that train, those that calibrate and those that test.
+LEADS = (
+    {"key": ["password=", "token = ", "api_key: ", "secret=", "passwd: ", "pwd=", "access_key="], "plain": ["commit ", "sha ", "version ", "part ", ""], "call": ["call ", "phone: ", "tel ", ""], "deal": ["order ", "part ", "invoice ", "isbn "], "id": ["ssn ", "tax id ", ""], "bank": ["iban ", "account ", ""]},
+    {"key": ["Password: ", "auth token=", "API key: ", "client_secret = ", "passphrase="], "plain": ["checksum ", "model ", "build ", "order ", ""], "call": ["mobile ", "fax: ", "Phone ", ""], "deal": ["ticket ", "article ", "order ", "model "], "id": ["social security ", "SSN: ", ""], "bank": ["konto ", "IBAN: ", ""]},
+    {"key": ["password is set, password=", "bearer token: ", "my api-key=", "credentials: ", "SECRET="], "plain": ["id ", "page ", "issue ", "commit ", ""], "call": ["call me: ", "cell ", "whatsapp ", ""], "deal": ["invoice ", "issue ", "isbn ", "part "], "id": ["tax id: ", "ssn=", ""], "bank": ["cuenta ", "compte ", ""]},
+)
+
+
+def _examples(seed: int, n: int, family: int = 0) -> list[tuple[int, str, str, float]]:
+    """Generated texts (id, text, kind, label): one planted span each, in the middle of words.
+
+    ``family`` picks contexts and shapes, so that what calibrates or tests is not what was trained on.
+    """
     r = random.Random(seed)
-    low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    low, up, dig, lead = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", LEADS[family]
+    sep, more = ("-", "_", ".")[family], (0, 3, 5)[family]
 
     def s(alphabet: str, k: int) -> str:
         return "".join(r.choices(alphabet, k=k))
 
-    def words(k: int) -> str:
-        return " ".join(s(low, r.randint(2, 9)) for _ in range(k))
+    def words(k: int, glue: str = " ") -> str:
+        return glue.join(s(low, r.randint(2, 9)) for _ in range(k))
+
+    def key() -> str:
+        return r.choice(lead["key"]) + r.choice(["", '"', "'"])
 
     makers = [
-        ("secret", 1.0, lambda: ("", "AKIA" + s(up + dig, 16))),
-        ("secret", 1.0, lambda: ("", r.choice(["ghp_", "sk-"]) + s(low + up + dig, 32))),
-        ("secret", 1.0, lambda: (r.choice(["password", "token", "api_key", "secret", "passwd", "pwd", "access_key"]) + r.choice(["=", " = ", ": ", "="]) + r.choice(["", '"', "'"]), s("0123456789abcdef", r.choice([16, 20, 24, 32, 40])))),
-        ("secret", 1.0, lambda: (r.choice(["password", "secret", "token"]) + r.choice(["=", " = ", ": "]), s(low + up + dig, r.randint(9, 24)) + s(dig, 2))),
-        ("secret", 0.0, lambda: (r.choice(["commit ", "sha ", "checksum ", ""]), s("0123456789abcdef", r.choice([10, 12, 40])))),
-        ("secret", 0.0, lambda: (r.choice(["version ", "part ", "model ", "order ", "id ", ""]), s(up, 2) + "-" + s(dig, r.randint(5, 9)))),
+        ("secret", 1.0, lambda: ("", r.choice(["AKIA", "ASIA"]) + s(up + dig, 16))),
+        ("secret", 1.0, lambda: ("", r.choice(["ghp_", "sk-", "gho_"]) + s(low + up + dig, 32 + more))),
+        ("secret", 1.0, lambda: (key(), s("0123456789abcdef", r.choice([16, 20, 24, 32, 40]) + more))),
+        ("secret", 1.0, lambda: (key(), s(low + up + dig, r.randint(9, 24)) + s(dig, 2))),
+        ("secret", 0.0, lambda: (r.choice(lead["plain"]), s("0123456789abcdef", r.choice([10, 12, 40])))),
+        ("secret", 0.0, lambda: (r.choice(lead["plain"]), s(up, 2) + sep.replace(".", "-") + s(dig, r.randint(5, 9)))),
         ("secret", 0.0, lambda: ("", s(low, r.randint(4, 9)) + s(dig, r.randint(2, 5)) + s(low, r.randint(2, 6)))),
         ("secret", 0.0, lambda: ("", s(dig, r.randint(9, 20)))),
+        ("secret", 0.0, lambda: ("", words(2, "_") + "_20" + s(dig, 2) + "_" + words(1 + family, "_"))),
         ("secret", 0.0, lambda: ("", "20" + s(dig, 2) + "-0" + s("123456789", 1) + "-" + s("12", 1) + s(dig, 1))),
-        ("tel", 1.0, lambda: (r.choice(["call ", "phone: ", "tel ", "mobile ", "fax: ", ""]), s(dig, 3) + r.choice(["-", ".", " "]) + s(dig, 3) + "-" + s(dig, 4))),
+        ("credential", 1.0, lambda: (key(), s(low, r.randint(3, 8)) + s(dig, r.randint(1, 4)) + s(low + up, r.randint(2, 6)))),
+        ("credential", 1.0, lambda: (key(), s(low + up + dig + "!$%*#", r.randint(8, 20)) + s(dig, 1))),
+        ("credential", 1.0, lambda: (key(), s("0123456789abcdef", r.choice([16, 32, 40])))),
+        ("credential", 0.0, lambda: (r.choice(lead["key"]), s(low, r.randint(6, 12)))),
+        ("credential", 0.0, lambda: (r.choice(lead["key"]), words(2, sep))),
+        ("tel", 1.0, lambda: (r.choice(lead["call"]), s(dig, 3) + r.choice(["-", ".", " "]) + s(dig, 3) + "-" + s(dig, 4))),
         ("tel", 1.0, lambda: ("", "(" + s(dig, 3) + ") " + s(dig, 3) + "-" + s(dig, 4))),
-        ("tel", 0.0, lambda: (r.choice(["order ", "part ", "invoice ", "isbn ", "ticket "]), s(dig, 3) + r.choice(["-", ".", " "]) + s(dig, 3) + r.choice(["-", " "]) + s(dig, 4))),
-        ("ssn", 1.0, lambda: (r.choice(["ssn ", "social security ", "tax id ", ""]), s(dig, 3) + "-" + s(dig, 2) + "-" + s(dig, 4))),
-        ("ssn", 0.0, lambda: (r.choice(["part ", "order ", "model ", "invoice "]), s(dig, 3) + "-" + s(dig, 2) + "-" + s(dig, 4))),
-        ("iban", 1.0, lambda: (r.choice(["iban ", "account ", "konto ", ""]), r.choice(["DE", "FR", "ES", "GB"]) + s(dig, 2) + " " + " ".join(s(dig, 4) for _ in range(4)) + " " + s(dig, 2))),
+        ("tel", 0.0, lambda: (r.choice(lead["deal"]), s(dig, 3) + r.choice(["-", ".", " "]) + s(dig, 3) + r.choice(["-", " "]) + s(dig, 4))),
+        ("ssn", 1.0, lambda: (r.choice(lead["id"]), s(dig, 3) + "-" + s(dig, 2) + "-" + s(dig, 4))),
+        ("ssn", 0.0, lambda: (r.choice(lead["deal"]), s(dig, 3) + "-" + s(dig, 2) + "-" + s(dig, 4))),
+        ("iban", 1.0, lambda: (r.choice(lead["bank"]), r.choice(["DE", "FR", "ES", "GB"]) + s(dig, 2) + " " + " ".join(s(dig, 4) for _ in range(4)) + " " + s(dig, 2))),
         ("iban", 1.0, lambda: ("", r.choice(["DE", "FR", "ES"]) + s(dig, 20))),
-        ("iban", 0.0, lambda: (r.choice(["part ", "model ", "order "]), s(up, 2) + s(dig, 2) + " " + s(up, 4) + " " + s(up, 4))),
-        ("mail", 1.0, lambda: ("", s(low, 6) + r.choice([" ", ""]) + "[at] " + s(low, 7) + " [dot] " + r.choice(["com", "org", "net"]))),
+        ("iban", 0.0, lambda: (r.choice(lead["deal"]), s(up, 2) + s(dig, 2) + " " + s(up, 4) + " " + s(up, 4))),
+        ("mail", 1.0, lambda: ("", s(low, 6 + more) + r.choice([" ", ""]) + "[at] " + s(low, 7) + " [dot] " + r.choice(["com", "org", "net"]))),
         ("mail", 0.0, lambda: ("", s(low, 2) + " (at) " + s(dig, 2) + " (dot) " + s(low, 2))),
     ]
     out = []
     for i in range(n):
         kind, label, make = makers[i % len(makers)]
-        lead, value = make()
-        out.append((i, f"{words(6)} {lead}\x01{value}\x01 {words(5)}", kind, label))
+        before, value = make()
+        out.append((i, f"{words(6)} {before}\x01{value}\x01 {words(5)}", kind, label))
     return out
 
 
+def _chances(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic regression of labels on scores: the scores in order and their calibrated chances.
+
+    Runs of scores whose mean would fall are pooled; one more positive and negative keep a run from certainty.
+    """
+    order = np.argsort(score, kind="stable")
+    pools: list[list[float]] = []
+    for v in y[order]:
+        pools.append([float(v), 1])
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
+            total, n = pools.pop()
+            pools[-1] = [pools[-1][0] + total, pools[-1][1] + n]
+    chance = np.concatenate([np.full(int(n), (total + 0.5) / (n + 1)) for total, n in pools])
+    return score[order], chance
+
+
 def _tree(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int):
     """A regression tree for Newton steps: (feature, cut, left, right) or a leaf's value."""
     best = (1e-6, None)
@@ -171,15 +213,14 @@ def fitted(spark: SparkSession) -> tuple[str, dict[str, float]]:
     """SQL of the trees' sum over a feature struct f, and each kind's threshold on it."""
     if "pii" in _FITTED:
         return _FITTED["pii"]
-    made = _examples(17, TRAIN_ROWS)
-    spots = [(i, t.replace("\x01", ""), KINDS.index(kind), t.index("\x01"), t.rindex("\x01") - 1, y) for i, t, kind, y in made]
-    rows = spark.createDataFrame(spots, "i int, t string, k int, s int, e int, y double")
-    rows = rows.selectExpr("i", "y", "k", "t", "named_struct('k', k, 's', s, 'e', e, 'm', substring(t, s + 1, e - s)) AS x").selectExpr("i", "y", "k", f"{_features()} AS f")
-    got = sorted(rows.selectExpr("i", "y", "k", "f.*").collect())  # TRAIN_ROWS rows
+    made = [(*e, family) for family in (0, 1) for e in _examples(17 + family, TRAIN_ROWS, family)]
+    spots = [(i, t.replace("\x01", ""), KINDS.index(kind), t.index("\x01"), t.rindex("\x01") - 1, y, family) for i, t, kind, y, family in made]
+    rows = spark.createDataFrame(spots, "i int, t string, k int, s int, e int, y double, family int")
+    rows = rows.selectExpr("family", "i", "y", "k", "t", "named_struct('k', k, 's', s, 'e', e, 'm', substring(t, s + 1, e - s)) AS x").selectExpr("family", "i", "y", "k", f"{_features()} AS f")
+    got = sorted(rows.selectExpr("family", "i", "y", "k", "f.*").collect())  # 2 * TRAIN_ROWS rows
     y = np.array([r.y for r in got])
     x = np.array([[r[c] for c in FEATURES] for r in got])
-    kinds = np.array([r.k for r in got])
-    fit = np.arange(len(y)) // 19 % 2 == 0
+    kinds, fit = np.array([r.k for r in got]), np.array([r.family == 0 for r in got])
     score, trees = np.zeros(len(y)), []
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-score))
@@ -189,14 +230,10 @@ def fitted(spark: SparkSession) -> tuple[str, dict[str, float]]:
     for k, kind in enumerate(KINDS):
         mine = ~fit & (kinds == k)
         if mine.any():
-            # the lowest score from which on at least PRECISION of the held-out texts are positive;
-            # never under even odds
-            order = np.argsort(-score[mine])
-            sorted_ = score[mine][order]
-            right = np.cumsum(y[mine][order]) / np.arange(1, mine.sum() + 1)
-            level = np.append(sorted_[1:] < sorted_[:-1], True)
-            good = np.flatnonzero((right >= PRECISION) & level)
-            cuts[kind] = max(float(sorted_[good[-1]]) - 1e-6, 0.0) if len(good) else 1e9
+            at, chance = _chances(score[mine], y[mine])
+            good = np.flatnonzero(chance >= PRECISION)
+            # half way to the score below, which nothing between the two speaks for or against
+            cuts[kind] = float(at[good[0]] + at[max(good[0] - 1, 0)]) / 2 - 1e-6 if len(good) else 1e9
     _FITTED["pii"] = " + ".join(_sql(t) for t in trees), cuts
     return _FITTED["pii"]
 
@@ -212,7 +249,7 @@ def find(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFr
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     rows = rows.withColumn("d", F.col("t").rlike("[0-9]"))
     needs = {k: F.col("t").contains(n) if n else F.col("d") for k, (_, n) in BASE.items()}
-    needs |= {"secret": F.col("d"), "tel": F.col("d"), "ssn": F.col("d") & F.col("t").contains("-"), "iban": F.col("d"), "mail": F.col("t").rlike(r"[\[(]at[\])]")}
+    needs |= {"secret": F.col("d"), "tel": F.col("d"), "ssn": F.col("d") & F.col("t").contains("-"), "iban": F.col("d"), "credential": F.col("t").rlike(NAMED), "mail": F.col("t").rlike(r"[\[(]at[\])]")}
     rows = _generated(rows, {k: ((BASE[k][0] if k in BASE else MORE[k]), needs[k]) for k in KINDS}, ["doc_id", "t"])
     base = [f"transform(filter(k_{k}, x -> {CHECKS[k]}), x -> named_struct('s', x.s, 'k', {i}, 'e', x.e))" for i, k in enumerate(BASE)]
     more = [f"transform(k_{k}, x -> named_struct('s', x.s, 'e', x.e, 'm', x.m, 'k', {i + len(BASE)}))" for i, k in enumerate(MORE)]

@@ -29,6 +29,8 @@ CLASSES = ("lower", "upper", "digit", "stop", "symbol", "other", "letter")
 #: Limit of the sum of both Jensen-Shannon distances (base 2, 0 to 1 each): LIMIT + NOISE / words.
 LIMIT, NOISE = 0.43, 4.0
 MIN_CHARS, MIN_WORDS = 200, 50
+#: A language has a reference from so many documents on that pass the base rules; with fewer, none is judged.
+MIN_DOCS = 20
 
 _CLASS = np.full(256, 5, np.uint8)
 _CLASS[ord("a") : ord("z") + 1] = 0
@@ -163,10 +165,14 @@ def _js(p: Column, q: Column) -> Column:
 
 
 def references(rows: DataFrame) -> DataFrame:
-    """One row per language: mean normalised histograms over all documents long enough to judge."""
-    fit = rows.where((F.col("word_chars") >= MIN_CHARS) & (F.col("n_words") >= MIN_WORDS)).select("lang", _share(F.col("classes")).alias("p"), _share(F.col("common")).alias("w"))
+    """One row per language: mean normalised histograms over all documents long enough to judge that pass the base rules."""
+    fit = rows.where((F.col("word_chars") >= MIN_CHARS) & (F.col("n_words") >= MIN_WORDS) & ~_failed()).select("lang", _share(F.col("classes")).alias("p"), _share(F.col("common")).alias("w"))
     means = [F.avg(F.col("p")[i]) for i in range(len(CLASSES))], [F.avg(F.col("w")[i]) for i in range(31)]
-    return fit.groupBy("lang").agg(F.array(*means[0]).alias("ref_chars"), F.array(*means[1]).alias("ref_words"))
+    return fit.groupBy("lang").agg(F.array(*means[0]).alias("ref_chars"), F.array(*means[1]).alias("ref_words"), F.count("*").alias("docs")).where(F.col("docs") >= MIN_DOCS).drop("docs")
+
+
+def _failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
 def quality(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -175,16 +181,16 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFram
     ``base_failed``: under 50 words, or over half of the words in repeated 3-word windows.
     ``kept``: not base_failed, and the distances' sum within its limit.  A document with fewer than
     MIN_CHARS word characters or MIN_WORDS words has null distances; so has one of a language
-    without a reference (no document long enough), and null languages share one reference.  A language
+    without a reference (under MIN_DOCS documents to take it from), and null languages share one reference.  A language
     without a list of common words has all words in the rest bin: its word distance is 0.
     Null texts count nothing.  Null or repeated ids are carried; one row per input row.
     """
     rows = write_table(features(docs, text, lang), "quality")
     scored = rows.join(references(rows), "lang", "left")
-    long_enough = (F.col("word_chars") >= MIN_CHARS) & (F.col("n_words") >= MIN_WORDS)
+    long_enough = (F.col("word_chars") >= MIN_CHARS) & (F.col("n_words") >= MIN_WORDS) & F.col("ref_chars").isNotNull()
     scored = scored.withColumn("js_chars", F.when(long_enough, _js(_share(F.col("classes")), F.col("ref_chars"))))
     scored = scored.withColumn("js_words", F.when(long_enough, _js(_share(F.col("common")), F.col("ref_words"))))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    failed = _failed()
     near = F.coalesce(F.col("js_chars") + F.col("js_words") <= LIMIT + NOISE / F.col("n_words"), F.lit(True))
     return scored.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

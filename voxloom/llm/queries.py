@@ -103,49 +103,45 @@ def _rule_sql() -> str:
     return " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}:{v}'" for h, p, v in rules)
 
 
-def _level_sql(name: str, source: str, keys: str, prior: str) -> str:
-    """Common table expressions ``{name}`` with ``{name}_a``, ``{name}_b`` and ``{name}_mean``."""
+def _level_sql(name: str, source: str, keys: str, mean: str, weight: str) -> str:
+    """Common table expression ``{name}`` with {name}_a, {name}_b and {name}_w: posteriors of ``source`` (keys, n, bad)."""
     lo, hi = urls.STRENGTH
     return f"""
-{name}_m AS (SELECT {keys}, n, bad, greatest(0.001, least(0.999, {prior})) AS m0 FROM {source}),
-{name}_s AS (
-  SELECT coalesce(1 / least(1 / (1 + {lo}), greatest(1 / (1 + {hi}),
-      (sum(pow(bad - n * m0, 2)) - sum(n * m0 * (1 - m0))) / nullif(sum(n * m0 * (1 - m0) * (n - 1)), 0))) - 1, {hi}) AS s
-  FROM {name}_m WHERE n > 1
-), {name} AS (
-  SELECT {keys}, n, bad, m0 * s + bad AS {name}_a, (1 - m0) * s + n - bad AS {name}_b, (m0 * s + bad) / (s + n) AS {name}_mean
-  FROM {name}_m, {name}_s
-)"""
+{name}_m AS (SELECT {keys}, n, bad, greatest(0.001, least(0.999, {mean})) AS mu, ({weight})::DOUBLE AS w FROM {source}),
+{name}_v AS (SELECT sum(n * mu * (1 - mu)) AS v, sum(pow(bad - n * mu, 2)) AS q, sum(n * mu * (1 - mu) * (n - 1)) AS x FROM {name}_m WHERE n > 1),
+{name}_f AS (SELECT CASE WHEN x > 0 THEN least({hi}, greatest({lo}, CASE WHEN q > v THEN x / (q - v) - 1 ELSE {hi} END)) ELSE {lo} END AS f FROM {name}_v),
+{name} AS (SELECT {keys}, mu * f * w / (f + w) + bad AS {name}_a, (1 - mu) * f * w / (f + w) + n - bad AS {name}_b, f * w / (f + w) + n AS {name}_w FROM {name}_m, {name}_f)"""
 
 
+_TWO = "(" + ", ".join(f"'{x}'" for x in urls.SUFFIXES) + ")"
 OP6 = rf"""
 WITH p AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{urls.UPPER}', '{urls.UPPER.lower()}') AS host,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages
 ), l AS (SELECT doc_id AS page_id, max((toxic = 1 OR quality = 0)::INT) AS bad FROM labels GROUP BY doc_id),
 h AS (
-  SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, list_last(string_split(host, '.')) AS suffix,
-         array_to_string(string_split(host, '.')[-2:], '.') AS domain
+  SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, string_split(host, '.') AS ls, CASE WHEN array_to_string(ls[-2:], '.') IN {_TWO} THEN 2 ELSE 1 END AS k,
+         array_to_string(ls[-k:], '.') AS suffix, array_to_string(ls[-k - 1:], '.') AS domain
   FROM p LEFT JOIN l USING (page_id) GROUP BY host
 ), d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
-o AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) AS all_mean FROM s),
-{_level_sql("suffix_p", "s, o", "suffix", "all_mean")},
-{_level_sql("domain_p", "(SELECT d.*, suffix_p_mean FROM d JOIN suffix_p USING (suffix))", "domain", "suffix_p_mean")},
-{_level_sql("host_p", "(SELECT h.*, domain_p_mean FROM h JOIN domain_p USING (domain))", "host", "domain_p_mean")},
-r AS (
-  SELECT host, host_p_mean AS m, greatest(0, host_p_mean - {urls.Z} * sqrt(host_p_mean * (1 - host_p_mean) / (host_p_a + host_p_b + 1))) AS low FROM host_p
-), f AS (SELECT p.*, CASE {_rule_sql()} END AS fit FROM p)
+o AS (SELECT coalesce(sum(bad), 0) AS b0, coalesce(sum(n), 0) AS n0 FROM s),
+{_level_sql("sp", "s, o", "suffix", "(b0 + 1) / (n0 + 2)", "n0 + 2")},
+{_level_sql("dp", "(SELECT d.*, sp_a, sp_w FROM d JOIN sp USING (suffix))", "domain", "sp_a / sp_w", "sp_w")},
+{_level_sql("hp", "(SELECT h.*, dp_a, dp_w FROM h JOIN dp USING (domain))", "host", "dp_a / dp_w", "dp_w")},
+r AS (SELECT host, hp_a / hp_w AS m, greatest(0, hp_a / hp_w - {urls.Z} * sqrt(hp_a / hp_w * (1 - hp_a / hp_w) / (hp_w + 1))) AS low FROM hp),
+f AS (SELECT p.*, CASE {_rule_sql()} END AS fit FROM p)
 SELECT page_id, host, path, split_part(fit, ':', 1) AS rule,
        coalesce(split_part(fit, ':', 2), CASE WHEN round(low, 9) > {urls.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
-       round(m, 9) AS bad_rate, round(low, 9) AS bad_low
+       round(m, 6) AS bad_rate, round(low, 6) AS bad_low
 FROM f LEFT JOIN r USING (host)
 """
 
 
 @query(OP6)
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    out = urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return out.withColumn("bad_rate", F.round("bad_rate", 6)).withColumn("bad_low", F.round("bad_low", 6))
 
 
 @query()

@@ -1,66 +1,13 @@
-"""The shared folder of the cluster, tables written there, and distributed union-find."""
+"""Distributed union-find, and the tables in the cluster's shared folder."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-_MADE: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where unset (local mode), one of our own."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="voxloom-")
-    return _OWN[app]
-
-
-def _forget() -> None:
-    for own in _OWN.values():
-        shutil.rmtree(own.removeprefix("file://"), ignore_errors=True)
-    for spark, path in _MADE:
-        try:
-            drop_path(spark, path)
-        except Exception:  # the session is gone; the folder's owner cleans it
-            return
-
+from ..storage import drop_path, fresh_path, shared_dir, write_table
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used; removed when the driver ends."""
-    if not _MADE:
-        atexit.register(_forget)
-    path = f"{shared_dir(spark)}/voxloom-{name}-{uuid.uuid4().hex}"
-    _MADE.append((spark, path))
-    return path
-
-
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: lineage ends there.
-
-    An executor that is lost later costs nothing: the files are read again.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["components", "drop_path", "fresh_path", "shared_dir", "write_table"]
 
 
 def components(links: DataFrame, name: str = "cc") -> DataFrame:

@@ -2,8 +2,9 @@
 
 Only DataFrame functions.  Labelled page outcomes are counted per host; hosts, registered domains
 and suffixes get beta-binomial posteriors, each level's prior centred on its parent's posterior mean.
-A prior's strength is fitted by moments over all groups of its level.  A url without a rule is blocked
-when the lower bound of its host's posterior bad rate passes the limit.
+A prior's strength is fitted by moments over all groups of its level (the weakest where none has two
+labels) and cut by what is known of the parent: their variances add, ``1 / s = 1 / fitted + 1 / weight``.
+A url without a rule is blocked when the lower bound of its host's posterior bad rate passes the limit.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import write_table
+
 #: Fixed values: (host, path, verdict).
 RULES = [
     ("com", "/", "allow"),
@@ -23,6 +26,12 @@ RULES = [
 LIMIT, Z = 0.5, 1.645
 #: Bounds of a prior's strength, in pages.
 STRENGTH = (1.0, 200.0)
+#: Public suffixes of two labels under which others register.
+SUFFIXES = (
+    "co.uk org.uk ac.uk gov.uk net.uk com.au net.au org.au edu.au gov.au co.nz org.nz ac.nz co.jp ne.jp or.jp ac.jp go.jp co.kr or.kr co.in net.in org.in ac.in "
+    "co.za org.za com.br net.br org.br gov.br com.cn net.cn org.cn com.mx org.mx com.ar com.tr org.tr com.tw com.hk com.sg com.my co.id co.th co.il com.ua com.pl "
+    "com.es com.pt com.co com.pe com.ve github.io blogspot.com wordpress.com"
+).split()
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -46,47 +55,58 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+def _labels_above(host: Column) -> Column:
+    """How many last labels make the host's public suffix: two if listed, else one."""
+    return F.when(F.substring_index(host, ".", -2).isin(*SUFFIXES), 2).otherwise(1)
+
+
 def domain_of(host: Column) -> Column:
-    """The last two labels of a host (a stand-in for the registered domain)."""
-    return F.substring_index(host, ".", -2)
+    """The registered domain: the public suffix and one label more."""
+    return F.when(_labels_above(host) == 2, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    return F.when(_labels_above(host) == 2, F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1))
 
 
-def _posterior(groups: DataFrame, prior: Column, name: str) -> DataFrame:
-    """Posterior mean ``{name}_mean`` and strength of groups (n, bad), around each one's prior mean.
+def _posterior(groups: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Rows (keys, {name}_a, {name}_b) of groups (keys, n, bad, m, w): prior mean m, parent's weight w; written.
 
     Moments: with x = bad and prior mean m, var(x) = n m (1 - m) (1 + (n - 1) rho); summing over
-    groups gives rho, and the strength is 1 / rho - 1, within STRENGTH.
+    groups gives rho, and the fitted strength is 1 / rho - 1, within STRENGTH.
     """
-    seen = groups.withColumn("m0", F.greatest(F.lit(1e-3), F.least(F.lit(1 - 1e-3), prior)))
-    chance = F.col("n") * F.col("m0") * (1 - F.col("m0"))
-    fit = seen.where("n > 1").agg(
-        F.sum(F.pow(F.col("bad") - F.col("n") * F.col("m0"), 2)).alias("seen"), F.sum(chance).alias("base"), F.sum(chance * (F.col("n") - 1)).alias("more")
-    )
-    rho = F.least(F.lit(1 / (1 + STRENGTH[0])), F.greatest(F.lit(1 / (1 + STRENGTH[1])), (F.col("seen") - F.col("base")) / F.col("more")))
-    fit = fit.select(F.coalesce(1 / rho - 1, F.lit(STRENGTH[1])).alias("s"))
-    both = seen.join(F.broadcast(fit))  # one row
-    both = both.withColumn(f"{name}_a", F.col("m0") * F.col("s") + F.col("bad")).withColumn(f"{name}_b", (1 - F.col("m0")) * F.col("s") + F.col("n") - F.col("bad"))
-    return both.withColumn(f"{name}_mean", F.col(f"{name}_a") / (F.col(f"{name}_a") + F.col(f"{name}_b"))).drop("m0", "s")
+    chance = F.col("n") * F.col("m") * (1 - F.col("m"))
+    fit = groups.where("n > 1").agg(
+        F.sum(F.pow(F.col("bad") - F.col("n") * F.col("m"), 2)).alias("seen"), F.sum(chance).alias("base"), F.sum(chance * (F.col("n") - 1)).alias("more")
+    ).first()  # one row
+    rho = (fit.seen - fit.base) / fit.more if fit.more else 1.0
+    fitted = 1 / min(1 / (1 + STRENGTH[0]), max(1 / (1 + STRENGTH[1]), rho)) - 1
+    s = 1 / (1 / F.lit(fitted) + 1 / F.col("w"))
+    return write_table(groups.select(*keys, (F.col("m") * s + F.col("bad")).alias(f"{name}_a"), ((1 - F.col("m")) * s + F.col("n") - F.col("bad")).alias(f"{name}_b")), f"url-{name}")
+
+
+def _under(groups: DataFrame, parents: DataFrame, key: str, name: str) -> DataFrame:
+    """Groups with the prior mean m (off 0 and 1) and weight w of their parent."""
+    a, b = F.col(f"{name}_a"), F.col(f"{name}_b")
+    both = groups.join(parents, key)
+    return both.withColumn("m", F.greatest(F.lit(1e-3), F.least(F.lit(1 - 1e-3), a / (a + b)))).withColumn("w", a + b)
 
 
 def reputations(outcomes: DataFrame) -> DataFrame:
     """Rows (host, host_a, host_b) for every host of ``outcomes`` (host, bad 0/1 or null if unlabelled).
 
-    Pages are counted per host before anything is joined, so a hot host is one small row; hosts
-    without a label get their domain's or suffix's posterior as it is.
+    Pages are counted per host before anything is joined, so a hot host is one small row, and each level
+    is written once.  Hosts without a label get a prior no stronger than what is known of their parents.
     """
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = hosts.select("host", "n", "bad", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    overall = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("all_mean"))
-    suffixes = _posterior(suffixes.join(F.broadcast(overall)), F.col("all_mean"), "suffix").select("suffix", "suffix_mean")
-    domains = _posterior(domains.join(suffixes, "suffix"), F.col("suffix_mean"), "domain").select("domain", "domain_mean")
-    return _posterior(hosts.join(domains, "domain"), F.col("domain_mean"), "host").select("host", "host_a", "host_b")
+    hosts = write_table(hosts.select("host", "n", "bad", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix")), "url-hosts")
+    domains = write_table(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "url-domains")
+    suffixes = write_table(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "url-suffixes")
+    whole = suffixes.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()  # one row
+    top = suffixes.withColumn("m", F.lit((whole.bad + 1) / (whole.n + 2))).withColumn("w", F.lit(float(whole.n + 2)))
+    by_suffix = _posterior(top, "suffix", ["suffix"])
+    by_domain = _posterior(_under(domains, by_suffix, "suffix", "suffix"), "domain", ["domain"])
+    return _posterior(_under(hosts, by_domain, "domain", "domain"), "host", ["host"])
 
 
 def judge(pages: DataFrame, labels: DataFrame, url: str = "url", page: str = "page_id") -> DataFrame:
