@@ -3,7 +3,7 @@ import random
 import pytest
 
 from voxloom.functions.porter import stem
-from voxloom.plans.querylang import Filters, Phrase, effective_years, parse, without_filters
+from voxloom.plans.querylang import Filters, Phrase, State, effective_years, parse, range_label, read_state, set_episode, set_range, without_filters, write_state
 
 
 def groups(q):
@@ -31,6 +31,15 @@ def test_filters():
     assert without_filters('x year:2014 "a b" ep:3') == 'x "a b"'
 
 
+def test_rewriting():
+    assert without_filters("a OR year:2015 b ep:3", ("year", "before", "after")) == "a b ep:3"
+    assert set_range("glue year:2010 before:2012", 2015, 2014) == "glue year:2014-2015" and set_episode("glue ep:3", 5) == "glue ep:5"
+    assert set_range("x" * 195, 2014, 2014).startswith("year:2014 ") and range_label((2014, 2014)) == "2014" and range_label(None) == "Any year" and range_label((2014, 2016)) == "2014–2016"
+    assert effective_years(parse("after:2020 before:2019"), 2024) == (2021, 2018)
+    assert read_state("?q=hide+glue+🙂&mode=smart&sort=NEWEST&page=99") == State("hide glue", "related", "newest", 5)
+    assert write_state(State("hide glue", "exact", "relevance", 2)) == "?q=hide+glue&page=2" and write_state(State()) == ""
+
+
 def test_terms_and_meaning():
     q = parse("the “red fox” don’t of*")
     assert q.semantic == "the red fox don't of" and q.terms == (Phrase("red"), Phrase("fox"), Phrase("of", True))

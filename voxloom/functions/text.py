@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters with marks and the letters that search treats them as.
-MARKED = "àáâãäåāçćčèéêëēìíîïīñńòóôõöōùúûüūýÿžšś"
-PLAIN = "aaaaaaaccceeeeeiiiiinnoooooouuuuuyyzss"
+def _marked() -> tuple[str, str]:
+    """Lower-case Latin letters with one mark, by Unicode's decompositions, and the letters under them."""
+    found = {}
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) == 2 and "a" <= parts[0] <= "z" and unicodedata.combining(parts[1]):
+            found[c] = parts[0]
+    return "".join(found), "".join(found.values())
+
+
+#: Latin letters with marks and the letters that search treats them as.
+MARKED, PLAIN = _marked()
 
 
 def fold(text: Column) -> Column:
@@ -35,11 +46,11 @@ def correction_key(text: Column) -> Column:
 
 
 def slug(title: Column, longest: int = 60) -> Column:
-    """Words joined by hyphens, cut at a word boundary."""
+    """Words joined by hyphens, cut at a word boundary; nothing left is "untitled"."""
     s = F.regexp_replace(F.regexp_replace(fold(title), r"['’]", ""), r"[^a-z0-9]+", "-")
     s = F.regexp_replace(s, r"^-+|-+$", "")
     cut = F.regexp_replace(F.substring(s, 1, longest + 1), r"-[^-]*$", "")
-    return F.when(F.char_length(s) <= longest, s).otherwise(F.substring(cut, 1, longest))
+    return F.when(s == "", "untitled").when(F.char_length(s) <= longest, s).otherwise(F.substring(cut, 1, longest))
 
 
 def clock(seconds: Column) -> Column:
@@ -77,23 +88,6 @@ def text_sha(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
-def platform_title(title: Column) -> Column:
-    """Titles as platforms are compared: number markers, apostrophes, marks and punctuation gone."""
-    t = F.regexp_replace(fold(title), r"(?:^|\s)(?:#|ep(?:isode)?\.?\s*)\d+\s*[:.-]?", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"['’]", ""), r"[^a-z0-9]+", " "))
-
-
-def split_title(title: Column, feed_number: Column) -> tuple[Column, Column]:
-    """(number, rest) of a title that starts with one: ``#12 x``, ``Episode 12: x`` or a plausible ``12 x``."""
-    marked = r"^(?:#|(?i:episode|ep\.?)\s*#?)\s*(\d+)\s*[:.–-]*\s*(.*)$"
-    bare = r"^(\d{2,4})\s*[:.–-]*\s+(.*)$"
-    n = F.regexp_extract(title, bare, 1).try_cast("int") if hasattr(Column, "try_cast") else F.expr("NULL")
-    plausible = title.rlike(bare) & F.coalesce((n == feed_number) | (feed_number.isNull() & n.between(10, 1899)), F.lit(False))
-    number = F.when(title.rlike(marked), F.regexp_extract(title, marked, 1).try_cast("int")).when(plausible, n).otherwise(feed_number)
-    rest = F.when(title.rlike(marked), F.regexp_extract(title, marked, 2)).when(plausible, F.regexp_extract(title, bare, 2)).otherwise(title)
-    return number, F.trim(rest)
-
-
 def decode_times(start_ms: Column, encoded: Column) -> Column:
     """Word starts of a comma-separated list of differences; anything malformed gives no times."""
     steps = F.transform(F.split(encoded, ","), lambda x: x.try_cast("bigint"))

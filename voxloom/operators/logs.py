@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import squeeze
+from .ordered import numbered
 
 
 def traffic(agent: Column, maintainer: Column, batch_agent: str) -> Column:
@@ -36,8 +37,7 @@ def spellings(points: DataFrame, q: str, weight: str, results: str) -> DataFrame
 
 def daily_crossings(points: DataFrame, ts: str, budget: int) -> DataFrame:
     """Rows (day, n, half_at, full_at): events a day and which one first reached half and passed the budget."""
-    day = F.to_date(ts)
-    rows = points.withColumn("day", day).withColumn("n", F.row_number().over(Window.partitionBy("day").orderBy(ts, "event_id")))
+    rows = numbered(points.withColumn("day", F.to_date(ts)), [ts, "event_id"], "n", ["day"])
     half = -(-budget // 2)
     return rows.groupBy("day").agg(
         F.count("*").alias("n"), F.min(F.when((F.col("n") >= half) & (F.col("n") <= budget), F.col("event_id"))).alias("half_at"),

@@ -34,10 +34,20 @@ def diff(stored: DataFrame, new: DataFrame, keys: list[str], values: list[str])
     return rows.select(*[F.coalesce(k, f"_{k}").alias(k) for k in keys], change.alias("change"))
 
 
-def upsert(stored: DataFrame, new: DataFrame, key: str, changed: Column | None = None) -> DataFrame:
-    """The next snapshot: new rows replace stored ones of the same key."""
+def upsert(stored: DataFrame, new: DataFrame, key: str, changed: Column | None = None, reset: dict[str, Column] | None = None) -> DataFrame:
+    """The next snapshot: new rows replace stored ones of the same key.
+
+    ``changed`` tells, over the new row's columns and the stored row as the struct ``old``, which replaced
+    rows start again: they take the values of ``reset``.
+    """
     kept = stored.join(new.select(key), key, "left_anti")
-    return kept.unionByName(new)
+    if changed is None:
+        return kept.unionByName(new)
+    old = stored.select(F.col(key).alias("_k"), F.struct(*stored.columns).alias("old"))
+    both = new.join(old, F.col(key) == F.col("_k"), "left").withColumn("_again", F.coalesce(F.col("old").isNotNull() & changed, F.lit(False)))
+    for name, value in (reset or {}).items():
+        both = both.withColumn(name, F.when(F.col("_again"), value).otherwise(F.col(name)))
+    return kept.unionByName(both.select(*new.columns))
 
 
 def stale(ledger: DataFrame, current: DataFrame, key: str) -> DataFrame:

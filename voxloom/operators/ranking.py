@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import cosine
+from .ordered import numbered
 
 RRF_K = 60
 
@@ -32,8 +32,8 @@ def fuse(lists: DataFrame, k: int = RRF_K) -> DataFrame:
 def rerank_order(scored: DataFrame) -> DataFrame:
     """(id, rank, score or null): valid scores first, best first; the rest keep their order."""
     valid = F.when(F.isnan("score"), None).otherwise(F.col("score"))
-    order = Window.orderBy(valid.isNull(), valid.desc(), "rank")
-    return scored.withColumn("new_rank", F.row_number().over(order))
+    rows = scored.withColumn("_none", valid.isNull()).withColumn("_valid", valid)
+    return numbered(rows, [F.col("_none").asc(), F.col("_valid").desc(), F.col("rank").asc()], "new_rank").drop("_none", "_valid")
 
 
 def collapse(hits: DataFrame, within_ms: int = 120_000) -> DataFrame:
@@ -56,21 +56,25 @@ def collapse(hits: DataFrame, within_ms: int = 120_000) -> DataFrame:
 
 
 def cards(hits: DataFrame) -> DataFrame:
-    """Neighbouring hits of one episode as a card: rows (card, episode, ids by time, first_rank)."""
-    order = Window.orderBy("rank")
-    new = F.coalesce((F.lag("episode").over(order) != F.col("episode")).cast("int"), F.lit(1))
-    rows = hits.withColumn("card", F.sum(new).over(order))
+    """Neighbouring hits of one episode as a card: rows (card, episode, ids by time, first_rank).
+
+    A card is a run in rank order: a hit's place among all less its place in its episode stays the same
+    along a run, so runs are found by two numberings and cards are numbered by their first rank.
+    """
+    rows = numbered(hits, ["rank"], "_all")
+    rows = numbered(rows, ["rank"], "_own", ["episode"])
+    rows = rows.withColumn("_run", F.col("_all") - F.col("_own"))
     packed = F.array_sort(F.collect_list(F.struct("hit_ms", "id")))
-    return rows.groupBy("card", "episode").agg(F.transform(packed, lambda x: x["id"]).alias("ids"), F.min("rank").alias("first_rank"))
+    runs = rows.groupBy("episode", "_run").agg(F.transform(packed, lambda x: x["id"]).alias("ids"), F.min("rank").alias("first_rank"))
+    return numbered(runs.drop("_run"), ["first_rank"], "card").select("card", "episode", "ids", "first_rank")
 
 
 def evenly(rows: DataFrame, order: list, n: int, offset: float = 0.0, last: bool = True) -> DataFrame:
     """``n`` evenly spaced rows: bround((i + offset) * step), step over m - 1 or m."""
-    ranked = rows.withColumn("_rn", F.row_number().over(Window.orderBy(*order)) - 1)
-    total = rows.agg(F.count("*").alias("_m"))
-    picks = rows.sparkSession.range(n).join(F.broadcast(total)).where("_m > 0")
-    step = (F.col("_m") - 1) / max(n - 1, 1) if last else F.col("_m") / F.lit(n)
-    picks = picks.select(F.bround((F.col("id") + offset) * step, 0).cast("int").alias("_rn")).distinct()
+    ranked = numbered(rows, order, "_rn").withColumn("_rn", F.col("_rn") - 1)
+    m = rows.count()
+    step = (m - 1) / max(n - 1, 1) if last else m / n
+    picks = rows.sparkSession.range(n if m else 0).select(F.bround((F.col("id") + offset) * F.lit(step), 0).cast("bigint").alias("_rn")).distinct()
     return ranked.join(F.broadcast(picks), "_rn", "left_semi").drop("_rn")
 
 

@@ -47,6 +47,16 @@ def _stems(phrase: Phrase, stemmed: bool) -> list[str]:
     return [porter.stem(w) if stemmed else w for w in words]
 
 
+def _is(index: DataFrame, stem: str):
+    """The stem's postings; of a stored index, only its bucket's files are read."""
+    fits = F.col("stem") == stem
+    if "bucket" in index.columns:
+        from .index import bucket_of
+
+        fits = fits & (F.col("bucket") == bucket_of(stem))
+    return fits
+
+
 def phrase_hits(index: DataFrame, phrase: Phrase, stemmed: bool = True) -> DataFrame:
     """Rows (id, pos): where the phrase's stems stand in a row; a prefix applies to the last."""
     words = _stems(phrase, stemmed)
@@ -54,7 +64,7 @@ def phrase_hits(index: DataFrame, phrase: Phrase, stemmed: bool = True) -> DataF
         return index.select("id", "pos").limit(0)
     out = None
     for k, w in enumerate(words):
-        fits = F.col("stem").startswith(w) if phrase.prefix and k == len(words) - 1 else F.col("stem") == w
+        fits = F.col("stem").startswith(w) if phrase.prefix and k == len(words) - 1 else _is(index, w)
         some = index.where(fits).select("id", (F.col("pos") - k).alias("pos"))
         out = some if out is None else out.join(some, ["id", "pos"], "left_semi")
     return out

@@ -14,7 +14,8 @@ from .ranking import evenly
 def select(rows: DataFrame, selector: str) -> DataFrame:
     """The union of comma-separated terms over (id, published, year, number, stem, in_scope), oldest first.
 
-    Terms: all, scope, recent:N, ep:N, year:Y, stem:S, spread:N (evenly among those out of scope).
+    Terms: all, scope, seed (newest 20 and 15 evenly of the rest), recent:N, ep:N, year:Y, stem:S, spread:N
+    (evenly among those out of scope).
     """
 
     def term(t: str) -> DataFrame:
@@ -23,6 +24,8 @@ def select(rows: DataFrame, selector: str) -> DataFrame:
         plain: dict[str, Column] = {"all": F.lit(True), "scope": F.col("in_scope")}
         if name in plain and not value:
             return rows.where(plain[name])
+        if name == "seed" and not value:
+            return seed(rows)
         if name in ("ep", "year"):
             return rows.where(F.col("number" if name == "ep" else "year") == int(value))
         if name == "stem" and value:
@@ -37,6 +40,23 @@ def select(rows: DataFrame, selector: str) -> DataFrame:
     return found.dropDuplicates(["id"]).orderBy("published", "id")
 
 
+def seed(rows: DataFrame, recent: int = 20, rest: int = 15, order: tuple[str, str] = ("published", "id")) -> DataFrame:
+    """The newest rows, and ``rest`` evenly spaced of the others, newest first."""
+    newest = [F.desc(order[0]), F.desc(order[1])]
+    new = rows.orderBy(*newest).limit(recent)
+    others = rows.join(F.broadcast(new.select(order[1])), order[1], "left_anti")
+    return new.unionByName(evenly(others, newest, rest))
+
+
+def set_scope(rows: DataFrame, wanted: DataFrame, key: str = "stem") -> DataFrame:
+    """``rows`` with exactly the wanted keys in scope; a key that no row has is an error."""
+    unknown = [r[0] for r in wanted.join(rows.select(key), key, "left_anti").select(key).limit(5).collect()]
+    if unknown:
+        raise ValueError(f"unknown: {unknown}")
+    hit = wanted.select(F.col(key).alias("_w")).distinct()
+    return rows.join(hit, F.col(key) == F.col("_w"), "left").withColumn("in_scope", F.col("_w").isNotNull()).drop("_w")
+
+
 def scope_changes(rows: DataFrame, wanted: DataFrame, key: str = "stem") -> DataFrame:
     """Rows (key, change): added, removed or unknown, where the scope has to become ``wanted`` exactly."""
     both = rows.select(key, "in_scope").join(wanted.select(F.col(key).alias("_w")).distinct(), F.col(key) == F.col("_w"), "full_outer")

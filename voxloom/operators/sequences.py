@@ -40,11 +40,25 @@ def boilerplate_spans(runs: DataFrame, shared: DataFrame, gap: int = GAP, least:
     return join_gaps(hit, gap).where(F.col("e") - F.col("s") >= least)
 
 
-def overlaps(a: DataFrame, b: DataFrame, key: str = "id") -> DataFrame:
-    """Intersections of two interval tables (key, s, e)."""
-    x, y = a.select(key, "s", "e"), b.select(F.col(key).alias("_k"), F.col("s").alias("s2"), F.col("e").alias("e2"))
-    both = x.join(y, (F.col(key) == F.col("_k")) & (F.col("s") < F.col("e2")) & (F.col("s2") < F.col("e")))
-    return both.select(key, F.greatest("s", "s2").alias("s"), F.least("e", "e2").alias("e"))
+def _met(a: DataFrame, b: DataFrame, key: str, extra: list[str]) -> DataFrame:
+    """Pairs (key, s, e, s2, e2, extra) of intervals that overlap, each once.
+
+    Time is dealt into stretches of about twice the mean length, both sides into those they touch, so
+    a key with many intervals is many small joins; a pair counts where its later start lies.
+    """
+    mean = a.select("s", "e").unionByName(b.select("s", "e")).agg(F.avg(F.col("e") - F.col("s")).alias("m")).first()["m"]
+    width = max(1, int(2 * (mean or 0)))
+    touched = F.explode(F.sequence(F.floor(F.col("s") / width), F.floor(F.greatest(F.col("s"), F.col("e") - 1) / width))).alias("_t")
+    x = a.select(key, *extra, "s", "e", touched)
+    y = b.select(F.col(key).alias("_k"), "s", "e", touched).select("_k", F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("_t").alias("_t2"))
+    on = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_t") == F.col("_t2")) & (F.col("s") < F.col("e2")) & (F.col("s2") < F.col("e"))
+    return x.join(y, on).where(F.floor(F.greatest("s", "s2") / width) == F.col("_t")).drop("_k", "_t", "_t2")
+
+
+def overlaps(a: DataFrame, b: DataFrame, key: str = "id", extra: list[str] = ()) -> DataFrame:
+    """Intersections of two interval tables (key, s, e), with ``extra`` columns of the first."""
+    both = _met(a, b, key, list(extra))
+    return both.select(key, *extra, F.greatest("s", "s2").alias("s"), F.least("e", "e2").alias("e"))
 
 
 def uncovered(words: DataFrame, longest: int = 1000, pad: int = 300) -> DataFrame:
@@ -62,9 +76,10 @@ def holes(words: DataFrame, speech: DataFrame, loops: DataFrame | None = None) -
 
 def speech_inside(spans: DataFrame, speech: DataFrame) -> DataFrame:
     """Rows (id, s, e, speech): milliseconds of speech inside each span."""
-    on = (F.col("id") == F.col("k")) & (F.col("s") < F.col("e2")) & (F.col("s2") < F.col("e"))
-    other = speech.select(F.col("id").alias("k"), F.col("s").alias("s2"), F.col("e").alias("e2"))
-    return spans.join(other, on, "left").groupBy("id", "s", "e").agg(F.coalesce(F.sum(F.least("e", "e2") - F.greatest("s", "s2")), F.lit(0)).alias("speech"))
+    inside = overlaps(spans.select("id", "s", "e", F.struct("s", "e").alias("span")), speech, "id", ["span"])
+    sums = inside.groupBy(F.col("id").alias("_i"), "span").agg(F.sum(F.col("e") - F.col("s")).alias("speech"))
+    on = F.col("id").eqNullSafe(F.col("_i")) & (F.struct("s", "e") == F.col("span"))
+    return spans.select("id", "s", "e").distinct().join(sums, on, "left").select("id", "s", "e", F.coalesce("speech", F.lit(0)).alias("speech"))
 
 
 def repeated_sentences(sentences: DataFrame, least: int = 5, longest: int = 6) -> DataFrame:

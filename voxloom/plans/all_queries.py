@@ -6,3 +6,5 @@ from . import sequence_queries  # noqa: F401, E402
 from . import table_queries  # noqa: F401, E402
 from . import transcript_queries  # noqa: F401, E402
 from . import more_queries  # noqa: F401, E402
+from . import engine_queries  # noqa: F401, E402
+from . import episode_queries  # noqa: F401, E402

@@ -6,15 +6,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import alignment, logs, publish, selection
+from ..operators import alignment, lifecycle, logs, publish, reporting, selection
 from .catalog import query, table
 
 _WORDS = "SELECT conv_id AS episode, turn AS seq, string_split(coalesce(text, ''), ' ') AS words FROM conversations"
 
 
 @query(f"""WITH p AS ({_WORDS}), q AS (SELECT *, lead(words) OVER w AS nx, lead(seq) OVER w AS ns FROM p WINDOW w AS (PARTITION BY episode ORDER BY seq)),
- k AS (SELECT *, unnest(range(1, greatest(2, least(len(words), len(nx))))) AS k FROM q WHERE ns = seq + 1)
- SELECT q.episode, q.seq, coalesce(max(k) FILTER (k.words[len(k.words) - k + 1:] = k.nx[1:k] AND k < len(k.words) AND k < len(k.nx)), 0)::INT AS shared
+ k AS (SELECT *, unnest(range(1, least(len(words), len(nx)) + 1)) AS k FROM q WHERE ns = seq + 1)
+ SELECT q.episode, q.seq, coalesce(max(k) FILTER (k.words[len(k.words) - k + 1:] = k.nx[1:k]), 0)::INT AS shared
  FROM q LEFT JOIN k ON k.episode = q.episode AND k.seq = q.seq GROUP BY q.episode, q.seq""")
 def overlap_dedup(spark, d):
     """Words that end a passage and begin the next."""
@@ -54,14 +54,8 @@ def next_undecided_circular(spark, d):
     return selection.next_after(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 500)
 
 
-@query("WITH m AS (SELECT o_orderkey AS k, o_custkey AS claim FROM orders WHERE o_orderkey < 3000) SELECT k, claim FROM m WHERE claim NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 = 0) QUALIFY count(*) OVER (PARTITION BY claim) = 1")
+@query("WITH m AS (SELECT o_orderkey AS k, o_custkey AS claim FROM orders) SELECT k, claim FROM m WHERE claim NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 = 0) QUALIFY count(*) OVER (PARTITION BY claim) = 1")
 def duplicate_claims_dropped(spark, d):
-    return _unclaimed(spark, d, table(spark, d, "orders").where("o_orderkey < 3000"))
-
-
-@query()
-def duplicate_claims_dropped_all(spark, d):
-    """Claims of all orders."""
     return _unclaimed(spark, d, table(spark, d, "orders"))
 
 
@@ -124,9 +118,8 @@ def moved_keys(spark, d):
  SELECT word, count(*) AS uses, count(*) FILTER (low) AS low FROM w GROUP BY word HAVING count(*) FILTER (low) >= 2 AND count(*) FILTER (low) >= 0.25 * count(*)"""
 )
 def suspect_words(spark, d):
-    w = table(spark, d, "conversations").select(F.posexplode(F.split("text", " ")).alias("i", "u")).select(F.lower("u").alias("word"), (F.col("i") % 4 == 0).alias("low"))
-    g = w.groupBy("word").agg(F.count("*").alias("uses"), F.count(F.when(F.col("low"), 1)).alias("low"))
-    return g.where((F.col("low") >= 2) & (F.col("low") >= 0.25 * F.col("uses")))
+    w = table(spark, d, "conversations").select(F.posexplode(F.split("text", " ")).alias("i", "u"))
+    return reporting.suspects(w, "u", F.col("i") % 4 == 0)
 
 
 @query("SELECT count(*) AS n, count(o_orderpriority) AS with_priority, count(CASE WHEN o_orderkey % 3 = 0 THEN 1 END) AS with_third FROM orders")
@@ -136,14 +129,9 @@ def platform_summary(spark, d):
 
 
 @query(
-    """SELECT e.event_id, c.c_name, n.n_name FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey WHERE e.event_id % 10 = 0"""
+    """SELECT e.event_id, c.c_name, n.n_name FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey"""
 )
 def reports_left_joins(spark, d):
-    return _reports(spark, d, table(spark, d, "events").where("event_id % 10 = 0"))
-
-
-@query()
-def reports_left_joins_all(spark, d):
     return _reports(spark, d, table(spark, d, "events"))
 
 
@@ -159,14 +147,8 @@ def semi_anti_exclusion(spark, d):
     return docs.join(lab.where("quality = 1"), "doc_id", "left_semi").join(lab.where("toxic = 1"), "doc_id", "left_anti")
 
 
-@query("SELECT event_id, CASE WHEN value >= 60 THEN (floor(value)::INT // 60) || ':' || lpad((floor(value)::INT % 60)::VARCHAR, 2, '0') ELSE '0:' || lpad(floor(value)::INT::VARCHAR, 2, '0') END AS clock, strftime(ts, '%b ') || day(ts) || ', ' || year(ts) AS date FROM events WHERE value < 3600")
+@query("SELECT event_id, CASE WHEN value >= 3600 THEN floor(value)::INT // 3600 || ':' || lpad((floor(value)::INT // 60 % 60)::VARCHAR, 2, '0') ELSE (floor(value)::INT // 60)::VARCHAR END || ':' || lpad((floor(value)::INT % 60)::VARCHAR, 2, '0') AS clock, strftime(ts, '%b ') || day(ts) || ', ' || year(ts) AS date FROM events")
 def clock_and_date_formats(spark, d):
-    return _clock_date(table(spark, d, "events").where("value < 3600"))
-
-
-@query()
-def clock_and_date_formats_all(spark, d):
-    """All events, also those of an hour on."""
     return _clock_date(table(spark, d, "events"))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import MARKED, PLAIN
-from ..operators import ranking, search
+from ..operators import engine, ranking, search
+from ..operators import index as stored
 from .catalog import query, table
 from .querylang import parse
 
@@ -19,9 +20,24 @@ def _passages(spark, d):
     return table(spark, d, "conversations").withColumn("id", F.expr(ID))
 
 
-def _scored(spark, d, text):
-    rows = _passages(spark, d)
-    return search.scores(search.postings(rows, "id", "text", False), search.lengths(rows, "id", "text"), parse(text), False)
+_INDEXES: dict[tuple, stored.Index] = {}
+
+
+def indexed(spark, d, name: str, rows, id_col: str, text: str, stemmed: bool) -> stored.Index:
+    """The stored index of a table, built when it is first asked for in a session."""
+    key = (spark.sparkContext.applicationId, d, name, stemmed)
+    if key not in _INDEXES:
+        _INDEXES[key] = stored.build(rows, id_col, text, stemmed=stemmed)
+    return _INDEXES[key]
+
+
+def _talk(spark, d, stemmed=False) -> stored.Index:
+    return indexed(spark, d, "conversations", _passages(spark, d), "id", "text", stemmed)
+
+
+def _scored(spark, d, text, stemmed=False):
+    ix = _talk(spark, d, stemmed)
+    return search.scores(ix.postings, ix.lengths, parse(text), stemmed)
 
 
 def _bm25_sql(phrases: list[str], where: str, negative: str = "", tail: str = "") -> str:
@@ -79,13 +95,12 @@ def repeated_phrase_counts_twice(spark, d):
 
 @query()
 def bm25_stemmed(spark, d):
-    rows = _passages(spark, d)
-    return _rounded(search.scores(search.postings(rows, "id", "text"), search.lengths(rows, "id", "text"), parse("tions"), True))
+    return _rounded(_scored(spark, d, "tions", True))
 
 
 @query(f"WITH {INDEX} SELECT term, count(DISTINCT id) AS docs, count(*) AS uses FROM p GROUP BY term")
 def term_vocabulary(spark, d):
-    return search.postings(_passages(spark, d), "id", "text", False).groupBy("term").agg(F.countDistinct("id").alias("docs"), F.count("*").alias("uses"))
+    return stored.vocabulary(_talk(spark, d)).withColumnRenamed("stem", "term")
 
 
 @query(f"WITH {INDEX}, m AS (SELECT DISTINCT id FROM p WHERE term = 'the') SELECT least(count(*), 1000) AS total, count(*) > 1000 AS total_capped, count(*) > 200 AS truncated FROM m")
@@ -120,11 +135,11 @@ def title_match(spark, d):
  JOIN c f ON f.conv_id = c.conv_id AND f.turn BETWEEN c.turn - 3 AND c.turn + 3"""
 )
 def context_window(spark, d):
-    """A hit's neighbours: an equi-join on the conversation with a band on the turn."""
-    rows = _passages(spark, d)
-    hits = search.phrase_hits(search.postings(rows, "id", "text", False), parse("heed").groups[0][0], False).select("id").distinct()
-    near = rows.select(F.col("conv_id").alias("c2"), F.col("turn").alias("t2"), F.col("id").alias("near_id"))
-    return rows.join(hits, "id").join(near, (F.col("c2") == F.col("conv_id")) & F.col("t2").between(F.col("turn") - 3, F.col("turn") + 3)).select("id", "near_id")
+    """A hit's neighbours: an equi-join on each place of the band."""
+    rows = _passages(spark, d).select("id", F.col("conv_id").alias("episode"), F.col("turn").alias("seq"))
+    ix = _talk(spark, d)
+    hits = search.phrase_hits(ix.postings, parse("heed").groups[0][0], False).select("id").distinct()
+    return engine.context(engine.Corpus(rows, rows, ix), hits, 3).select("id", "near_id")
 
 
 @query(
@@ -207,17 +222,16 @@ def smart_search_debug(spark, d):
     return fused.select("id", "place").join(k, "id", "left").join(v, "id", "left")
 
 
-_HITS = "SELECT user_id AS episode, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank, ((epoch_us(ts) // 1000) - 1704067200000) // 60 AS hit_ms, event_id AS id FROM events WHERE event_type = 'click' QUALIFY rank <= 40"
+_HITS = "SELECT user_id AS episode, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank, ((epoch_us(ts) // 1000) - 1704067200000) // 60 AS hit_ms, event_id AS id FROM events WHERE event_type = 'click'"
 
 
-def _hits(spark, d, top=40):
+def _hits(spark, d):
     from pyspark.sql.window import Window
 
     rows = table(spark, d, "events").where("event_type = 'click'")
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id"))
     ms = F.floor((F.unix_millis(F.col("ts").cast("timestamp")) - 1704067200000) / 60)
-    rows = rows.select(F.col("user_id").alias("episode"), rank.alias("rank"), ms.alias("hit_ms"), F.col("event_id").alias("id"))
-    return rows if top is None else rows.where(f"rank <= {top}")
+    return rows.select(F.col("user_id").alias("episode"), rank.alias("rank"), ms.alias("hit_ms"), F.col("event_id").alias("id"))
 
 
 @query(
@@ -238,28 +252,12 @@ def collapse_folded(spark, d):
     return ranking.collapse(_hits(spark, d)).withColumn("folded", F.array_join("folded", ","))
 
 
-@query()
-def collapse_greedy_all(spark, d):
-    """All click hits of every user."""
-    return ranking.collapse(_hits(spark, d, None)).select("episode", "id")
-
-
-@query()
-def collapse_folded_all(spark, d):
-    return ranking.collapse(_hits(spark, d, None)).withColumn("folded", F.array_join("folded", ","))
-
-
 @query(
-    """WITH h AS (SELECT user_id AS episode, event_id AS rank, (epoch_us(ts) // 1000) AS hit_ms, event_id AS id FROM events WHERE event_id < 400),
+    """WITH h AS (SELECT user_id AS episode, event_id AS rank, (epoch_us(ts) // 1000) AS hit_ms, event_id AS id FROM events),
  m AS (SELECT *, sum(coalesce((lag_e <> episode)::INT, 1)) OVER (ORDER BY rank) AS card FROM (SELECT *, lag(episode) OVER (ORDER BY rank) AS lag_e FROM h))
  SELECT card::BIGINT AS card, episode, array_to_string(list(id ORDER BY hit_ms, id), ',') AS ids, min(rank) AS first_rank FROM m GROUP BY card, episode"""
 )
 def cards_islands(spark, d):
-    return _cards(table(spark, d, "events").where("event_id < 400"))
-
-
-@query()
-def cards_islands_all(spark, d):
     return _cards(table(spark, d, "events"))
 
 
@@ -269,21 +267,16 @@ def _cards(events):
 
 
 @query(
-    """WITH s AS (SELECT event_id AS id, event_id AS rank, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS score FROM events WHERE event_id < 60)
+    """WITH s AS (SELECT event_id AS id, event_id AS rank, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS score FROM events)
  SELECT id, row_number() OVER (ORDER BY score IS NULL, score DESC, rank)::INT AS new_rank FROM s"""
 )
 def rerank_order(spark, d):
-    return _reranked(table(spark, d, "events").where("event_id < 60"))
-
-
-@query()
-def rerank_order_all(spark, d):
     return _reranked(table(spark, d, "events"))
 
 
 def _reranked(events):
     rows = events.select(F.col("event_id").alias("id"), F.col("event_id").alias("rank"), F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("score"))
-    return ranking.rerank_order(rows).select("id", "new_rank")
+    return ranking.rerank_order(rows).select("id", F.col("new_rank").cast("int").alias("new_rank"))
 
 
 @query(
@@ -293,11 +286,10 @@ def _reranked(events):
 )
 def seed_sample(spark, d):
     """The newest 20 and 15 evenly spaced of the rest."""
-    rows = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
-    order = [F.desc("o_orderdate"), "o_orderkey"]
-    new = rows.orderBy(*order).limit(20)
-    rest = rows.join(F.broadcast(new.select("o_orderkey")), "o_orderkey", "left_anti")
-    return new.select("o_orderkey").union(ranking.evenly(rest, order, 15).select("o_orderkey"))
+    from ..operators import selection
+
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderdate", (-F.col("o_orderkey")).alias("k"))
+    return selection.seed(rows, order=("o_orderdate", "k")).select("o_orderkey")
 
 
 @query(

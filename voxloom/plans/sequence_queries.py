@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..operators import lifecycle, platforms, sentences
 from ..operators import sequences as S
 from .catalog import query, table
 
@@ -141,25 +141,19 @@ def cue_seconds(spark, d):
 )
 def sentence_split(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
-    ends = F.col("word").rlike(r"[.?!]$") & ~F.lower("word").rlike(r"^([0-9]+[.]|mr[.]|mrs[.]|dr[.]|st[.]|vs[.]|no[.])$")
-    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("sentence", F.coalesce(F.sum(ends.cast("int")).over(before), F.lit(0)))
+    rows = sentences.split(rows, "doc_id")
     return rows.groupBy("doc_id", "sentence").agg(F.min("pos").cast("bigint").alias("first"), F.count("*").alias("words"))
 
 
 @query(
     """WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderdate::DATE AS d, o_orderkey AS n FROM orders)
- SELECT a.k, count(b.k) AS near, CASE WHEN count(b.k) >= 2 AND abs(a.n - list_sort(list(b.n) FILTER (b.n IS NOT NULL))[count(b.k) // 2 + 1]) > 3000 THEN NULL ELSE a.n END AS kept
+ SELECT a.k, count(b.k) AS near, CASE WHEN count(b.k) >= 2 AND abs(a.n - list_sort(list(b.n) FILTER (b.n IS NOT NULL))[count(b.k) // 2 + 1]) > 30 THEN NULL ELSE a.n END AS kept
  FROM o a LEFT JOIN o b ON a.c = b.c AND a.k <> b.k AND abs(date_diff('day', a.d, b.d)) <= 120 GROUP BY a.k, a.n"""
 )
 def number_median_filter(spark, d):
     """A number is dropped when it is far from the upper median of others within 120 days."""
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("d"))
-    b = o.select(F.col("c").alias("c2"), F.col("k").alias("k2"), F.col("d").alias("d2"))
-    near = o.join(b, (F.col("c") == F.col("c2")) & (F.col("k") != F.col("k2")) & (F.abs(F.datediff("d", "d2")) <= 120), "left")
-    near = near.groupBy("k").agg(F.sort_array(F.collect_list("k2")).alias("others"))
-    far = (F.size("others") >= 2) & (F.abs(F.col("k") - F.get("others", F.floor(F.size("others") / 2).cast("int"))) > 3000)
-    return near.select("k", F.size("others").cast("bigint").alias("near"), F.when(~far, F.col("k")).alias("kept"))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("show"), F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("day"), F.col("o_orderkey").alias("number"))
+    return lifecycle.in_sequence(o).select(F.col("id").alias("k"), "near", "kept")
 
 
 @query(
@@ -169,8 +163,8 @@ def number_median_filter(spark, d):
 )
 def fuzzy_unique_match(spark, d):
     """Only a single candidate in the date band counts, and a claim made twice drops all claimants."""
-    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c"), F.to_date("o_orderdate").alias("d"))
-    a = o.where("o_orderkey % 2 = 0").withColumnRenamed("o_orderkey", "k")
-    b = o.where("o_orderkey % 2 = 1").select(F.col("o_orderkey").alias("k2"), "c", F.col("d").alias("d2"))
-    one = a.join(b, "c").where(F.abs(F.datediff("d", "d2")) <= 30).groupBy("k").agg(F.countDistinct("k2").alias("n"), F.min("k2").alias("k2")).where("n = 1").drop("n")
-    return one.withColumn("claims", F.count("*").over(Window.partitionBy("k2"))).where("claims = 1").drop("claims")
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("title"), F.to_date("o_orderdate").alias("day"))
+    a = o.where("o_orderkey % 2 = 0").withColumnRenamed("o_orderkey", "id")
+    b = o.where("o_orderkey % 2 = 1").withColumnRenamed("o_orderkey", "platform_id")
+    one = platforms._single(a, b, F.col("title"), F.col("title"), 30)
+    return platforms.claimable(one, b.select(F.lit(-1).cast("bigint").alias("claim")).limit(1)).select(F.col("id").alias("k"), F.col("claim").alias("k2"))

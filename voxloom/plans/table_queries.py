@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evaluation, logs, publish
+from ..operators import evaluation, logs, publish, reporting
 from .catalog import query, table
 
 PTS = """SELECT event_id, event_type AS mode, ts, value AS ms, json_extract_string(props, '$.k')::INT AS k, CASE WHEN event_id % 4 = 0 THEN 5.0 ELSE 1.0 END AS sample,
@@ -25,7 +25,7 @@ def _points(spark, d):
 
 @query(f"SELECT mode, status, round(sum(sample), 6) AS weight, count(*) AS n FROM ({PTS}) GROUP BY mode, status")
 def mode_status_counts(spark, d):
-    return _points(spark, d).groupBy("mode", "status").agg(F.round(F.sum("sample"), 6).alias("weight"), F.count("*").alias("n"))
+    return reporting.weighted_counts(_points(spark, d), ["mode", "status"]).withColumn("weight", F.round("weight", 6))
 
 
 @query(
@@ -47,17 +47,14 @@ def analytics_p50_p95(spark, d):
     return half.withColumnRenamed("p", "p50").join(high.withColumnRenamed("p", "p95"), ["mode", "cache"])
 
 
-@query(f"SELECT k, sum(sample) AS weight FROM ({PTS}) WHERE status = 200 AND k < 5 GROUP BY k ORDER BY weight DESC, k LIMIT 10")
+@query(f"SELECT trim(regexp_replace(lower(q), '\\s+', ' ', 'g')) AS q, sum(sample) AS weight FROM ({PTS}) WHERE status = 200 AND k = 0 GROUP BY 1 ORDER BY weight DESC, q LIMIT 10")
 def zero_results_top(spark, d):
-    return _points(spark, d).where("status = 200 AND k < 5").groupBy("k").agg(F.sum("sample").alias("weight")).orderBy(F.desc("weight"), "k").limit(10)
+    return reporting.without_results(_points(spark, d).withColumn("results", F.col("k")), 10)
 
 
 @query(f"SELECT status, event_id, q FROM ({PTS}) WHERE status <> 200 QUALIFY row_number() OVER (PARTITION BY status ORDER BY event_id) <= 3")
 def status_error_examples(spark, d):
-    from pyspark.sql.window import Window
-
-    rows = _points(spark, d).where("status <> 200").withColumn("rn", F.row_number().over(Window.partitionBy("status").orderBy("event_id")))
-    return rows.where("rn <= 3").select("status", "event_id", "q")
+    return reporting.examples(_points(spark, d).where("status <> 200"), "status", "event_id").select("status", "event_id", "q")
 
 
 @query(
@@ -137,9 +134,9 @@ def embedding_cache_missing(spark, d):
     return publish.missing_embeddings(docs, cache).select("text_sha")
 
 
-ITEMS = """items AS (SELECT user_id % 40 AS case_id, event_id AS ord, user_id AS episode, CASE WHEN event_id % 3 <> 0 THEN epoch_us(ts) // 1000 END AS at_ms FROM events WHERE event_id < 160),
+ITEMS = """items AS (SELECT user_id % 40 AS case_id, event_id AS ord, user_id AS episode, CASE WHEN event_id % 3 <> 0 THEN epoch_us(ts) // 1000 END AS at_ms FROM events),
  answers AS (SELECT user_id % 40 AS case_id, CASE WHEN event_id % 2 = 0 THEN 'exact' ELSE 'related' END AS mode, user_id AS episode, epoch_us(ts) // 1000 + 20000 AS hit_ms,
-  row_number() OVER (PARTITION BY user_id % 40, event_id % 2 ORDER BY value DESC, event_id) AS rank FROM events WHERE event_id < 1200),
+  row_number() OVER (PARTITION BY user_id % 40, event_id % 2 ORDER BY value DESC, event_id) AS rank FROM events),
  top AS (SELECT * FROM answers WHERE rank <= 10), n AS (SELECT case_id, count(*) AS n, count(at_ms) AS timed FROM items GROUP BY 1),
  f AS (SELECT i.case_id, i.ord, t.rank, i.at_ms, t.hit_ms FROM items i JOIN top t USING (case_id, episode)),
  r AS (SELECT case_id, count(DISTINCT ord) AS hits, min(rank) AS best, count(DISTINCT ord) FILTER (abs(hit_ms - at_ms) <= 45000) AS near FROM f GROUP BY 1),
@@ -149,15 +146,15 @@ ITEMS = """items AS (SELECT user_id % 40 AS case_id, event_id AS ord, user_id AS
   CASE WHEN timed > 0 THEN coalesce(near, 0) / timed END AS time_hit FROM n LEFT JOIN r USING (case_id) LEFT JOIN dc USING (case_id))"""
 
 
-def _scores(spark, d, whole=False):
+def _scores(spark, d):
     from pyspark.sql.window import Window
 
     e = table(spark, d, "events").select("event_id", "user_id", "value", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
     case = (F.col("user_id") % 40).alias("case_id")
-    items = (e if whole else e.where("event_id < 160")).select(case, F.col("event_id").alias("ord"), F.col("user_id").alias("episode"), F.when(F.col("event_id") % 3 != 0, F.col("ms")).alias("at_ms"))
+    items = e.select(case, F.col("event_id").alias("ord"), F.col("user_id").alias("episode"), F.when(F.col("event_id") % 3 != 0, F.col("ms")).alias("at_ms"))
     rank = F.row_number().over(Window.partitionBy(F.col("user_id") % 40, F.col("event_id") % 2).orderBy(F.desc("value"), "event_id"))
     mode = F.when(F.col("event_id") % 2 == 0, "exact").otherwise("related")
-    answers = (e if whole else e.where("event_id < 1200")).select(case, mode.alias("mode"), F.col("user_id").alias("episode"), (F.col("ms") + 20000).alias("hit_ms"), rank.alias("rank"))
+    answers = e.select(case, mode.alias("mode"), F.col("user_id").alias("episode"), (F.col("ms") + 20000).alias("hit_ms"), rank.alias("rank"))
     return evaluation.score_cases(items, answers)
 
 
@@ -170,12 +167,6 @@ def eval_recall_mrr_ndcg(spark, d):
     return _rounded(_scores(spark, d))
 
 
-@query()
-def eval_recall_mrr_ndcg_all(spark, d):
-    """All events are items and answers."""
-    return _rounded(_scores(spark, d, True))
-
-
 def _rounded(scores):
     return scores.select("case_id", *[F.round(c, 9).alias(c) for c in ("recall", "mrr", "ndcg", "time_hit")])
 
@@ -188,11 +179,6 @@ def eval_rollup(spark, d):
     return evaluation.summary(_scores(spark, d), _tags(spark))
 
 
-@query()
-def eval_rollup_all(spark, d):
-    return evaluation.summary(_scores(spark, d, True), _tags(spark))
-
-
 @query(
     f"""WITH {ITEMS}, m AS (SELECT tag, round_even(avg(mrr), 4) AS v FROM {_TAG} GROUP BY ROLLUP (tag)) SELECT tag, 'mrr' AS metric, round(v + 0.05, 6) AS was, round(v, 6) AS is_now FROM m"""
 )
@@ -200,24 +186,13 @@ def eval_regressions(spark, d):
     return _regressed(evaluation.summary(_scores(spark, d), _tags(spark)))
 
 
-@query()
-def eval_regressions_all(spark, d):
-    return _regressed(evaluation.summary(_scores(spark, d, True), _tags(spark)))
-
-
 def _regressed(now):
     out = evaluation.regressions(now, now.withColumn("mrr", F.col("mrr") + 0.05).withColumn("recall", F.col("recall") + 0.01))
     return out.select("tag", "metric", F.round("was", 6).alias("was"), F.round("is_now", 6).alias("is_now"))
 
 
-@query("SELECT page_id, regexp_replace(url, '[?#].*$', '') AS base, CASE WHEN page_id >= 60 THEN page_id // 60 || ':' || lpad((page_id % 60)::VARCHAR, 2, '0') ELSE '0:' || lpad(page_id::VARCHAR, 2, '0') END AS clock FROM pages WHERE page_id < 3600")
+@query("SELECT page_id, regexp_replace(url, '[?#].*$', '') AS base, CASE WHEN page_id >= 3600 THEN page_id // 3600 || ':' || lpad((page_id // 60 % 60)::VARCHAR, 2, '0') ELSE (page_id // 60)::VARCHAR END || ':' || lpad((page_id % 60)::VARCHAR, 2, '0') AS clock FROM pages")
 def url_and_clock(spark, d):
-    return _url_clock(table(spark, d, "pages").where("page_id < 3600"))
-
-
-@query()
-def url_and_clock_all(spark, d):
-    """All pages, also those of an hour on."""
     return _url_clock(table(spark, d, "pages"))
 
 
@@ -227,7 +202,7 @@ def _url_clock(pages):
 
 @query(
     """WITH s AS (SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), '-') AS s FROM part)
- SELECT p_partkey, CASE WHEN length(s) <= 60 THEN s ELSE regexp_replace(s[1:61], '-[^-]*$', '')[1:60] END AS slug FROM s"""
+ SELECT p_partkey, CASE WHEN s = '' THEN 'untitled' WHEN length(s) <= 60 THEN s ELSE regexp_replace(s[1:61], '-[^-]*$', '')[1:60] END AS slug FROM s"""
 )
 def title_slug(spark, d):
     return table(spark, d, "part").select("p_partkey", T.slug(F.col("p_name")).alias("slug"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import transcript
+from ..operators import corrections, transcript
 from .catalog import query, table
 
 
@@ -16,16 +16,15 @@ def chunker(spark, d):
     return transcript.chunks(words).withColumn("word_starts", F.array_join("word_starts", ","))
 
 
-@query("SELECT doc_id, replace(replace(' ' || text || ' ', ' thly ', ' truly '), ' thly ', ' truly ') AS text FROM documents WHERE doc_id % 50 = 0 AND NOT regexp_matches(text, '(?i)[^ ]*thly[^ ]') AND NOT regexp_matches(text, '[Tt]hly[^ ]|Thly|[^ ]thly')")
-def corrections_apply(spark, d):
-    rows = table(spark, d, "documents").where("doc_id % 50 = 0").where(~F.col("text").rlike("(?i)[^ ]*thly[^ ]") & ~F.col("text").rlike("[Tt]hly[^ ]|Thly|[^ ]thly")).select("doc_id", "text")
-    return transcript.apply_corrections(rows, "text", [(("thly",), "truly")]).withColumn("text", F.concat(F.lit(" "), "text", F.lit(" ")))
+RULES = [corrections.Rule(("thly",), "truly")]
 
 
 @query()
-def corrections_apply_all(spark, d):
+def corrections_apply(spark, d):
     """Every document; SQL cannot express the rules' case and word boundaries, so a test compares with plain Python."""
-    return transcript.apply_corrections(table(spark, d, "documents").select("doc_id", "text"), "text", [(("thly",), "truly")])
+    rows = corrections.from_texts(table(spark, d, "documents").select("doc_id", F.lit(None).cast("string").alias("stem"), "text"), "text")
+    out = corrections.correct(rows, RULES)
+    return out.select("doc_id", F.array_join(F.transform("words", lambda w: w["text"]), " ").alias("text"))
 
 
 @query(
@@ -40,9 +39,11 @@ def guards_wpm_flags(spark, d):
 
 
 @query(
-    """WITH b AS (SELECT user_id AS episode, floor((epoch_us(ts) // 1000 - 1704067200000) / 604800000)::BIGINT AS stretch, count(*) AS n, avg((value < 10)::INT) AS share FROM events GROUP BY ALL)
- SELECT episode, stretch, n, round(share, 9) AS share FROM b WHERE n >= 5 QUALIFY row_number() OVER (PARTITION BY episode ORDER BY round(share, 12) DESC, stretch) <= 2"""
+    """WITH b AS (SELECT user_id AS episode, floor((epoch_us(ts) // 1000 - 1704067200000) / 604800000)::BIGINT AS stretch, count(*) AS n, avg((value < 10)::INT) AS share, avg(value) AS mean,
+  max(epoch_us(ts) // 1000 - 1704067200000) AS last FROM events GROUP BY ALL),
+ c AS (SELECT *, stretch = max(stretch) OVER w AND count(*) OVER w > 1 AND last % 604800000 < 302400000 AS short FROM b WINDOW w AS (PARTITION BY episode))
+ SELECT episode, stretch, n, round(share, 9) AS share FROM c WHERE n >= 5 AND NOT short QUALIFY row_number() OVER (PARTITION BY episode ORDER BY round(share, 12) DESC, round(mean, 12), stretch) <= 2"""
 )
 def unsure_stretches(spark, d):
     w = table(spark, d, "events").select(F.col("user_id").alias("episode"), (F.unix_millis(F.col("ts").cast("timestamp")) - 1704067200000).alias("start_ms"), F.col("value").alias("prob"))
-    return transcript.worst_stretches(w, 604_800_000, 5, 2, 10.0).select("episode", "stretch", "n", F.round("share", 9).alias("share"))
+    return transcript.worst_stretches(w, 604_800_000, 5, 2, F.col("prob") < 10.0).select("episode", "stretch", "n", F.round("share", 9).alias("share"))

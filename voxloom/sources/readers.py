@@ -41,11 +41,17 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def telemetry(points: DataFrame) -> DataFrame:
-    """Named columns of positional telemetry; empty strings are null and the sample defaults to 1."""
+    """Named columns of positional telemetry, searches and reports; empty strings are null and the sample defaults to 1.
+
+    A report has its status first and its traffic where a search has its words.
+    """
+    search = F.coalesce(F.col("index1") != "report", F.lit(True))
     text = lambda c: F.nullif(F.col(c), F.lit(""))
-    search = F.col("index1") == "search"
+    number = lambda c: F.col(c).cast("string").try_cast("double")
+    of_search = lambda c, name: F.when(search, c).alias(name)
     return points.select(
-        F.col("index1").alias("kind"), F.col("timestamp").alias("ts"), F.when(search, text("blob1")).alias("q"), F.when(search, text("blob2")).alias("mode"),
-        F.when(search, text("blob3")).alias("sort"), F.when(search, text("blob4")).alias("cache"), text("blob5").alias("traffic"), F.when(search, F.col("double1")).alias("results"),
-        F.col("double2").alias("ms"), F.col("double3").alias("degraded"), F.col("double4").alias("page"), F.col("double5").alias("status"), F.coalesce("_sample_interval", F.lit(1.0)).alias("sample"),
+        F.when(search, "search").otherwise("report").alias("kind"), F.col("timestamp").alias("ts"), of_search(text("blob1"), "q"), of_search(text("blob2"), "mode"), of_search(text("blob3"), "sort"),
+        of_search(text("blob4"), "cache"), F.when(search, text("blob5")).otherwise(text("blob1")).alias("traffic"), of_search(number("double1"), "results"), of_search(number("double2"), "ms"),
+        of_search(number("double3"), "degraded"), of_search(number("double4"), "page"), F.when(search, number("double5")).otherwise(number("double1")).alias("status"),
+        F.coalesce(F.nullif(number("_sample_interval"), F.lit(0.0)), F.lit(1.0)).alias("sample"),
     )
