@@ -52,3 +52,14 @@ def test_chunks_hold_every_word(spark):
     rows = QUERIES["chunker"](spark, SF).collect()
     assert all(len(r.text.split(" ")) == len(r.word_starts.split(",")) for r in rows)
     assert all(r.end_ms - r.start_ms + 1 <= 45_000 for r in rows)
+
+
+def test_chunks_by_row_and_by_word_agree(spark):
+    from pyspark.sql import functions as F
+
+    from voxloom.operators import transcript
+
+    words = spark.read.parquet(f"{SF}/documents.parquet").where("text IS NOT NULL").select(F.col("doc_id").alias("episode"), F.posexplode(F.split("text", r"\s+")).alias("pos", "text")).where("text <> ''")
+    words = words.select("episode", "pos", "text", (F.col("pos") * 400).cast("bigint").alias("start_ms"), (F.col("pos") * 400 + 399).cast("bigint").alias("end_ms"), F.lit(False).alias("boilerplate"))
+    want = {(r.episode, r.seq): (r.start_ms, r.end_ms, r.text) for r in transcript.chunks(words).collect()}
+    assert {(r.episode, r.seq): (r.start_ms, r.end_ms, r.text) for r in QUERIES["chunker"](spark, SF).collect()} == want

@@ -6,18 +6,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import write_table
+
 N, SHARED_BY, GAP, LEAST = 8, 5, 12, 10
+#: Shared runs are broadcast up to so many bytes, counted from their rows; beyond, joins shuffle.
+BROADCAST_BYTES = 48 << 20
+
+
+def _tokens(text: str) -> str:
+    """SQL of the words (t, i) of a text that are not empty once only a-z, 0-9 and apostrophes are left; i counts all words."""
+    return f"filter(transform(split(regexp_replace(lower(coalesce({text}, '')), \"[^a-z0-9' ]+\", ''), ' '), (w, i) -> named_struct('t', w, 'i', i)), x -> x.t <> '')"
+
+
+def _run_lists(docs: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
+    """Rows (id, at, runs) of documents: word indexes of the tokens, and hashes of each n following tokens."""
+    rows = docs.select(F.col(id_col).alias("id"), F.expr(_tokens(f"CAST(`{text}` AS STRING)")).alias("x")).where(F.size("x") >= n)
+    rows = rows.select("id", F.expr("transform(x, y -> y.i)").alias("at"), F.expr("transform(x, y -> y.t)").alias("t"))
+    return rows.select("id", "at", F.expr(f"transform(sequence(0, size(t) - {n}), k -> xxhash64(slice(t, k + 1, {n})))").alias("runs"))
 
 
 def word_runs(docs: DataFrame, id_col: str, text: str, n: int = N) -> DataFrame:
-    """Rows (id, pos, run): hashes of n following non-empty tokens; ``pos`` is a word index."""
-    words = F.split(F.coalesce(F.col(text), F.lit("")), " ")
-    toks = F.filter(
-        F.transform(words, lambda w, i: F.struct(F.regexp_replace(F.lower(w), r"[^a-z0-9']+", "").alias("t"), i.alias("i"))), lambda x: x["t"] != ""
-    )
-    rows = docs.select(F.col(id_col).alias("id"), toks.alias("x")).withColumn("t", F.expr("transform(x, y -> y.t)")).where(F.size("x") >= n)
-    runs = F.expr(f"transform(sequence(0, size(x) - {n}), k -> named_struct('pos', x[k].i, 'last', x[k + {n - 1}].i, 'run', xxhash64(slice(t, k + 1, {n}))))")
-    return rows.select("id", F.explode(runs).alias("r")).select("id", "r.pos", "r.last", "r.run")
+    """Rows (id, pos, last, run): hashes of n following non-empty tokens; ``pos`` and ``last`` are word indexes."""
+    rows = _run_lists(docs, id_col, text, n)
+    return rows.select("id", F.explode(F.expr(f"transform(runs, (r, k) -> named_struct('pos', at[k], 'last', at[k + {n - 1}], 'run', r))")).alias("r")).select("id", "r.pos", "r.last", "r.run")
+
+
+def repeated_spans(docs: DataFrame, id_col: str, text: str, n: int = N, shared_by: int = SHARED_BY, gap: int = GAP, least: int = LEAST) -> DataFrame:
+    """``boilerplate_spans`` of documents: runs are made once and written as one list a document.
+
+    What is counted is (run, document) without positions, distinct inside the row; only runs that are shared
+    come back, and only they are given places.
+    """
+    lists = write_table(_run_lists(docs, id_col, text, n), "run-lists")
+    counts = lists.select(F.explode(F.array_distinct("runs")).alias("run")).groupBy("run").agg(F.count("*").alias("docs"))
+    shared = write_table(counts.where(F.col("docs") >= shared_by).select("run"), "shared-runs")
+    if shared.count() * 16 <= BROADCAST_BYTES:
+        shared = F.broadcast(shared)
+    places = lists.select("id", F.explode(F.expr(f"transform(runs, (r, k) -> named_struct('run', r, 's', at[k], 'e', at[k + {n - 1}] + 1))")).alias("x")).select("id", "x.run", "x.s", "x.e")
+    return join_gaps(places.join(shared, "run", "left_semi").select("id", "s", "e"), gap).where(F.col("e") - F.col("s") >= least)
 
 
 def shared_runs(runs: DataFrame, least: int = SHARED_BY) -> DataFrame:
@@ -76,9 +102,9 @@ def holes(words: DataFrame, speech: DataFrame, loops: DataFrame | None = None) -
 
 def speech_inside(spans: DataFrame, speech: DataFrame) -> DataFrame:
     """Rows (id, s, e, speech): milliseconds of speech inside each span."""
-    inside = overlaps(spans.select("id", "s", "e", F.struct("s", "e").alias("span")), speech, "id", ["span"])
-    sums = inside.groupBy(F.col("id").alias("_i"), "span").agg(F.sum(F.col("e") - F.col("s")).alias("speech"))
-    on = F.col("id").eqNullSafe(F.col("_i")) & (F.struct("s", "e") == F.col("span"))
+    inside = overlaps(spans.select("id", "s", "e", F.col("s").alias("s0"), F.col("e").alias("e0")).distinct(), speech, "id", ["s0", "e0"])
+    sums = inside.groupBy(F.col("id").alias("_i"), "s0", "e0").agg(F.sum(F.col("e") - F.col("s")).alias("speech"))
+    on = F.col("id").eqNullSafe(F.col("_i")) & (F.col("s") == F.col("s0")) & (F.col("e") == F.col("e0"))
     return spans.select("id", "s", "e").distinct().join(sums, on, "left").select("id", "s", "e", F.coalesce("speech", F.lit(0)).alias("speech"))
 
 

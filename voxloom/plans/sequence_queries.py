@@ -22,10 +22,15 @@ def _islands(source: str, gap: int) -> str:
 
 @query(f"WITH {RUNS} SELECT id, pos FROM r SEMI JOIN s USING (run)")
 def word_ngrams_shared(spark, d):
-    runs = S.word_runs(table(spark, d, "documents"), "doc_id", "text")
+    runs = _runs(spark, d)
     return runs.join(S.shared_runs(runs).select("run"), "run", "left_semi").select("id", F.col("pos").cast("bigint").alias("pos"))
 
 
+def _runs(spark, d):
+    """The runs of all documents, made once and written: they are counted and looked up."""
+    return lifecycle.frozen(S.word_runs(table(spark, d, "documents"), "doc_id", "text"), "word-runs")
+
+
 @query(f"WITH {RUNS} SELECT docs, count(*) AS runs FROM s GROUP BY docs")
 def shared_runs(spark, d):
     return S.shared_runs(S.word_runs(table(spark, d, "documents"), "doc_id", "text")).groupBy("docs").agg(F.count("*").alias("runs"))
@@ -33,8 +38,7 @@ def shared_runs(spark, d):
 
 @query(f"WITH {RUNS}, h AS (SELECT id, pos AS s, last + 1 AS e FROM r SEMI JOIN s USING (run)) SELECT * FROM ({_islands('h', 12)}) WHERE e - s >= 10")
 def boilerplate_spans(spark, d):
-    runs = S.word_runs(table(spark, d, "documents"), "doc_id", "text")
-    out = S.boilerplate_spans(runs, S.shared_runs(runs))
+    out = S.repeated_spans(table(spark, d, "documents"), "doc_id", "text")
     return out.select("id", F.col("s").cast("bigint").alias("s"), F.col("e").cast("bigint").alias("e"))
 
 
@@ -79,7 +83,7 @@ def holes_in_speech(spark, d):
 
 
 @query(
-    f"""SELECT a.id, a.s, a.e, coalesce(sum(least(a.e, b.e) - greatest(a.s, b.s)), 0)::BIGINT AS speech FROM (SELECT DISTINCT id, s, e FROM {_A}) a
+    f"""SELECT a.id, a.s, a.e, coalesce(sum(least(a.e, b.e) - greatest(a.s, b.s)) FILTER (b.s IS NOT NULL), 0)::BIGINT AS speech FROM (SELECT DISTINCT id, s, e FROM {_A}) a
  LEFT JOIN {_B} b ON a.id = b.id AND a.s < b.e AND b.s < a.e GROUP BY a.id, a.s, a.e"""
 )
 def speech_inside_span(spark, d):

@@ -11,9 +11,12 @@ from .catalog import query, table
 @query()
 def chunker(spark, d):
     """Greedy chunks of documents whose words come 400 ms apart."""
-    words = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("episode"), F.posexplode(F.split("text", r"\s+")).alias("pos", "text")).where("text <> ''")
-    words = words.select("episode", "pos", "text", (F.col("pos") * 400).cast("bigint").alias("start_ms"), (F.col("pos") * 400 + 399).cast("bigint").alias("end_ms"), F.lit(False).alias("boilerplate"))
-    return transcript.chunks(words).withColumn("word_starts", F.array_join("word_starts", ","))
+    split = F.split("text", r"\s+")
+    words = F.filter(F.transform(split, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"] != "")
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("episode"), words.alias("x"))
+    at = [F.transform("x", lambda y: (y["i"] * 400).cast("bigint")), F.transform("x", lambda y: (y["i"] * 400 + 399).cast("bigint")), F.transform("x", lambda y: F.lit(False))]
+    rows = rows.select("episode", F.transform("x", lambda y: y["w"]).alias("texts"), *[c.alias(n) for c, n in zip(at, ("starts", "ends", "boilerplate"), strict=True)])
+    return transcript.chunk_rows(rows).withColumn("word_starts", F.array_join("word_starts", ","))
 
 
 RULES = [corrections.Rule(("thly",), "truly")]
