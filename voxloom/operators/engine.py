@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.querylang import STOPWORDS, Filters, Phrase, Query
+from ..storage import write_table
 from . import ranking, search
 from .index import Index
 
@@ -123,13 +124,18 @@ def _collapsed(rows: DataFrame) -> DataFrame:
     return rows.join(folded, "id").withColumn("more_in_episode", F.size("folded"))
 
 
+def _shown(corpus: Corpus, hits: DataFrame, q: Query) -> DataFrame:
+    """A list of a few hundred hits, written so that it is made once, timed, written and collapsed."""
+    return _collapsed(write_table(_timed(corpus, write_table(hits, "hits"), q), "timed-hits"))
+
+
 def exact(corpus: Corpus, q: Query, sort: str = "relevance", page: int = 1, limit: int = PAGE) -> DataFrame:
     """A page of keyword hits, collapsed within the page, with total, total_capped, truncated and has_more.
 
     Matches are counted to COUNTED and shown to SHOWN, before collapsing.
     """
     rows = keyword(corpus, q).withColumn("match", F.lit("keyword"))
-    return _collapsed(_timed(corpus, search.exact_page(rows, order_of(sort), page, limit, (SHOWN, COUNTED)), q))
+    return _shown(corpus, search.exact_page(rows, order_of(sort), page, limit, (SHOWN, COUNTED)), q)
 
 
 def _page(rows: DataFrame, page: int, limit: int) -> DataFrame:
@@ -150,12 +156,12 @@ def fused(corpus: Corpus, q: Query, vector: list[float] | None) -> DataFrame:
     exclusions, a hit in both is a keyword hit.
     """
     order = order_of("relevance")
-    words = place(keyword(corpus, q).orderBy(*order).limit(LIST), order).select("id", "rank")
+    words = write_table(place(keyword(corpus, q).orderBy(*order).limit(LIST), order).select("id", "rank"), "keyword-list")
     none = words.select("id", "rank", F.lit(0.0).alias("score")).limit(0)
     near = none
     if vector is not None and corpus.vectors is not None:
         near = ranking.nearest(corpus.vectors, vector, LIST, "id")
-        near = place(near, [F.desc("score"), F.col("id")])
+        near = write_table(place(near, [F.desc("score"), F.col("id")]), "near-list")
     lists = words.select(F.lit(0).alias("list_no"), "rank", "id").unionByName(near.select(F.lit(1).alias("list_no"), "rank", "id"))
     best = [F.desc(F.round("score", 12)), F.col("first")]
     top = place(ranking.fuse(lists).orderBy(*best).limit(FUSED), best).select("id", "rank", F.col("score").alias("rrf_score"))
@@ -175,7 +181,7 @@ def smart(corpus: Corpus, q: Query, vector: list[float] | None, sort: str = "rel
     reason = F.lit(skipped if skipped else None if vector is not None else "unavailable").cast("string")
     if not q.groups:
         vector = None
-    rows = _collapsed(_timed(corpus, _resorted(fused(corpus, q, vector), sort), q))
+    rows = _shown(corpus, _resorted(fused(corpus, q, vector), sort), q)
     return _page(rows, page, limit).withColumn("degraded", reason)
 
 
@@ -186,7 +192,7 @@ def related_list(corpus: Corpus, q: Query, vector: list[float], floor: float = F
     their order.
     """
     near = place(ranking.within_floor(ranking.nearest(corpus.vectors, vector, LIST, "id"), floor), [F.desc("score"), F.col("id")])
-    near = near.select("id", "rank", F.col("rank").alias("vector_rank"), F.col("score").alias("vector_score"))
+    near = write_table(near.select("id", "rank", F.col("rank").alias("vector_rank"), F.col("score").alias("vector_score")), "near-list")
     said = search.scores(corpus.index.postings, corpus.index.lengths, replace(q, negative=()), corpus.index.stemmed).select("id")
     rows = allowed(corpus, q).join(F.broadcast(near), "id").join(said, "id", "left_anti")
     for p in q.negative:
@@ -206,7 +212,7 @@ def related_list(corpus: Corpus, q: Query, vector: list[float], floor: float = F
 
 def related(corpus: Corpus, q: Query, vector: list[float], sort: str = "relevance", page: int = 1, limit: int = PAGE, floor: float = FLOOR, rerank=None) -> DataFrame:
     """A page of related hits."""
-    return _page(_collapsed(_timed(corpus, _resorted(related_list(corpus, q, vector, floor, rerank), sort), q)), page, limit)
+    return _page(_shown(corpus, _resorted(related_list(corpus, q, vector, floor, rerank), sort), q), page, limit)
 
 
 def by_title(corpus: Corpus, q: Query) -> DataFrame:
