@@ -63,3 +63,36 @@ def test_chunks_by_row_and_by_word_agree(spark):
     words = words.select("episode", "pos", "text", (F.col("pos") * 400).cast("bigint").alias("start_ms"), (F.col("pos") * 400 + 399).cast("bigint").alias("end_ms"), F.lit(False).alias("boilerplate"))
     want = {(r.episode, r.seq): (r.start_ms, r.end_ms, r.text) for r in transcript.chunks(words).collect()}
     assert {(r.episode, r.seq): (r.start_ms, r.end_ms, r.text) for r in QUERIES["chunker"](spark, SF).collect()} == want
+
+
+def test_corrections_hold_few_words_at_once(spark):
+    """Python workers stay small over batches of many words: before, up to 10,000 rows became dictionaries at once."""
+    import threading
+
+    import psutil
+
+    from voxloom.operators import corrections
+    from pyspark.sql import functions as F
+
+    docs = spark.range(0, 3_000, 1, 1).select(F.col("id").cast("string").alias("stem"), F.concat(F.repeat(F.lit("some words here "), 200), F.lit("thly "), F.col("id").cast("string")).alias("text"))
+    peak, over = [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.02):
+            for p in psutil.Process().children(recursive=True):
+                try:
+                    if "pyspark.daemon" in p.cmdline():
+                        peak[0] = max(peak[0], p.memory_info().rss)
+                except psutil.Error:
+                    continue
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        rules = [corrections.Rule(("thly",), "truly"), corrections.Rule(("here", "some"), "hear some", "7")]
+        words = corrections.correct(corrections.from_texts(docs, "text"), rules).select("stem", F.array_join("words.text", " ").alias("text"))
+        got = words.agg(F.count("*"), F.sum(F.col("text").contains("truly").cast("int")), F.sum(F.col("text").contains("thly").cast("int")), F.sum(F.col("text").contains("hear some").cast("int"))).first()
+    finally:
+        over.set()
+        watcher.join()
+    assert tuple(got) == (3_000, 3_000, 0, 1) and 0 < peak[0] < 400e6, peak
