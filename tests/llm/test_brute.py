@@ -286,3 +286,26 @@ def test_pii_recall_and_precision_on_other_generators(spark):
     assert recall >= 0.85 and precision >= 0.85, (recall, precision)
     got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame([(1, "password: hunter2abc99"), (2, "see file_2024_report_final there")], "doc_id bigint, text string")).collect()}
     assert got[1] == "credential:10:22" and got[2] == ""
+
+
+def test_line_sketches_lose_no_link_and_rule_most_others_out(spark):
+    """Before sets are made: every linked pair fits, with repeated shingles and wide characters too; at 0.3 to 0.7 few do."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(17)
+    rows = []
+    for k in range(300):
+        n = r.choice([20, 60, 330, 700])
+        line = ("=" * n if k % 10 == 0 else "".join(r.choices("abcdefgéß語 ", k=n)).strip().ljust(n, "x"))
+        cut = int(n * r.uniform(0, 0.5))
+        rows.append((k, line, line[: n - cut] + "".join(r.choices("mnopqrst", k=cut)) if k % 2 else line + "q" * (cut // 3)))
+    shingles = lambda t: {t[i : i + 12] for i in range(max(1, len(t) - 11))}
+    alike = {k: len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for k, a, b in rows}
+    both = []
+    for x in (1, 2):
+        d = spark.createDataFrame([(row[0], row[x]) for row in rows], "id bigint, line string")
+        d = d.select(F.struct(F.col("id").alias("doc_id"), F.lit(0).alias("no")).alias("at"), F.struct(*[F.lit(0).alias(f"m{m}") for m in range(lines.MINS)]).alias("m"), "line")
+        both.append(lines._sketched(d).select(F.col("at.doc_id").alias("id"), F.col("m").alias(f"m{x}")))
+    fit = {row.id for row in both[0].join(both[1], "id").where(lines._fits("m1", "m2", 80)).collect()}
+    linked, apart = {k for k, s in alike.items() if s >= 0.8}, {k for k, s in alike.items() if 0.3 < s < 0.7}
+    assert linked <= fit and len(linked) > 50 and len(apart) > 30 and len(apart & fit) < 0.2 * len(apart)

@@ -7,6 +7,10 @@ values form three groups, one of each hash; a band is three of a group's four.
 band in common with chance p = s^4 + 4 s^3 (1 - s), so a pair is missed with chance (1 - p)^3: 0.6 % at
 0.8, 0.01 % at 0.9, less for small sets.  Candidates whose signatures agree in AGREE of twelve places
 are compared exactly, on all shingles of 12 characters (at 0.8 fewer agree with a chance of 0.4 %).
+
+Before sets are made, sketches rule pairs out without loss: bit (hash mod 2,048) of a line's sketch tells whether it
+has shingles there, so two sketches differ in no more bits than the sets differ in shingles, which for
+linked lines is (|A| + |B|) (100 - percent) / (100 + percent) at most.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ HASHES, ORDERS, UNROLL = 4, 3, 4
 MINS = HASHES * ORDERS
 #: Places in which the signatures of compared lines agree, at least.
 AGREE = 6
+#: 64-bit words of a sketch.
+SKETCH = 32
 #: Lines in a block of the completing comparison.
 BLOCK = 128
 #: Tables are broadcast up to so many bytes, counted from their rows; beyond, joins shuffle.
@@ -53,7 +59,7 @@ def _shingles_sql(line: str) -> str:
 
     The bytes are bound to a lambda's variable, so they are made once, and each is cut out in constant time.
     """
-    every = f"transform(sequence(0, greatest(0, length(w) div 4 - {WIDTH})), i -> xxhash64(substring(w, 4 * i + 1, {4 * WIDTH})))"
+    every = f"transform(sequence(1, greatest(1, length(w) - {4 * WIDTH - 1}), 4), i -> xxhash64(substring(w, i, {4 * WIDTH})))"
     return f"array_distinct(transform(array(encode({line}, 'UTF-32')), w -> {every})[0])"
 
 
@@ -95,6 +101,25 @@ def _agree(x: str, y: str) -> str:
     return " + ".join(f"int({x}.m{k} = {y}.m{k})" for k in range(MINS)) + f" >= {AGREE}"
 
 
+def _fits(x: str, y: str, percent: int) -> str:
+    """SQL: what signatures and sketches of linked lines meet; sketches lose nothing (n is the set's size or more)."""
+    differ = " + ".join(f"bit_count({x}.o{k} ^ {y}.o{k})" for k in range(SKETCH))
+    return f"{_agree(x, y)} AND {100 + percent} * ({differ}) <= {100 - percent} * ({x}.n + {y}.n)"
+
+
+def _sketched(texts: DataFrame) -> DataFrame:
+    """``texts`` (at, m, line) with the number of each line's shingles, with repeats, and its sketch put into ``m``."""
+    rows = texts.select("at", F.expr("encode(line, 'UTF-32')").alias("w"))
+    rows = rows.select("at", "w", F.expr(f"int(greatest(0, length(w) div 4 - {WIDTH}))").alias("last"))
+    rows = rows.select("at", "w", "last", F.explode(F.expr(f"sequence(0, last, {UNROLL})")).alias("i"))
+    rows = rows.select("at", "last", *[F.expr(f"xxhash64(substring(w, 4 * least(i + {u}, last) + 1, {4 * WIDTH}))").alias(f"h{u}") for u in range(UNROLL)])
+    rows = rows.select("at", "last", *[F.expr(e).alias(f"{c}{u}") for u in range(UNROLL) for c, e in (("k", f"int(shiftright(h{u}, 6) & {SKETCH - 1})"), ("b", f"shiftleft(1L, int(h{u} & 63))"))])
+    words = [F.expr(f"bit_or({' | '.join(f'IF(k{u} = {k}, b{u}, 0L)' for u in range(UNROLL))})").alias(f"o{k}") for k in range(SKETCH)]
+    made = rows.groupBy("at").agg((F.max("last").cast("bigint") + 1).alias("n"), *words)
+    m = F.struct("m.*", "n", *[f"o{k}" for k in range(SKETCH)])
+    return texts.join(made, "at").select("at", m.alias("m"), "line")
+
+
 def _texts(touched: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """Rows (at, m, line) of the lines that stand first at ``at`` (doc_id, no)."""
     places = _small(touched.select(F.col("at.doc_id").alias("d"), F.col("at.no").alias("n")), 48)
@@ -106,7 +131,7 @@ def _texts(touched: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of lines whose shingle sets reach the similarity."""
     a, b = (texts.select(F.col("at").alias(x), F.col("m").alias(f"m{x}"), F.col("line").alias(f"l{x}")) for x in "ab")
-    both = pairs.join(a, "a").join(b, "b").where(_agree("ma", "mb"))
+    both = pairs.join(a, "a").join(b, "b").where(_fits("ma", "mb", percent))
     sets = both.select("a", "b", _shingles("la").alias("s"), _shingles("lb").alias("t"))
     # in a generator, not a filter: that would be pushed down and make the sets again for each mention
     hit = f"100 * least(size(s), size(t)) >= {percent} * greatest(size(s), size(t)) AND {_near('s', 't', percent)}"
@@ -123,8 +148,8 @@ def _across(shared: DataFrame, labels: DataFrame, texts: DataFrame, percent: int
 
     In a bucket with several components the one with most members is its base; under each base the
     members of others (``light``) meet all members of those buckets.  Both sides are dealt into blocks of
-    about BLOCK lines.  A block's pairs are compared inside one row, first by signature; a line's set is
-    made once, if a pair needs it, and only links become rows.
+    about BLOCK lines.  A block's pairs meet inside one row, by signature, size and sketch; only those that
+    pass become rows, and are compared exactly.
     """
     known = shared.join(labels, shared["at"] == labels["id"], "left").select("key", "at", F.coalesce("component", "at").alias("comp"))
     known = write_table(known, "line-members")
@@ -136,21 +161,12 @@ def _across(shared: DataFrame, labels: DataFrame, texts: DataFrame, percent: int
     dealt = under.join(size, "base")
     light = dealt.where("light").select("base", "at", "comp", F.pmod(F.xxhash64("at", F.lit(1)), "rows").cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"), F.lit(True).alias("light"))
     every = dealt.select("base", "at", "comp", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), F.pmod(F.xxhash64("at", F.lit(2)), "cols").cast("int").alias("c"), F.lit(False).alias("light"))
-    placed = light.unionByName(every).join(texts, "at")
-    item = F.struct("comp", "at", "m", "line")
+    placed = light.unionByName(every).join(texts.select("at", "m"), "at")
+    item = F.struct("comp", "at", "m")
     blocks = placed.groupBy("base", "r", "c").agg(F.collect_list(F.when(F.col("light"), item)).alias("xs"), F.collect_list(F.when(~F.col("light"), item)).alias("ys"))
-    may = f"y.comp <> x.comp AND {_agree('x.m', 'y.m')}"
-    made = "transform({0}, {1} -> named_struct('comp', {1}.comp, 'at', {1}.at, 'm', {1}.m, 's', IF(exists({2}, {3} -> " + may + "), {4}, array())))"
-    blocks = blocks.select(F.expr(made.format("xs", "x", "ys", "y", _shingles_sql("x.line"))).alias("xs"), F.expr(made.format("ys", "y", "xs", "x", _shingles_sql("y.line"))).alias("ys"))
-    some = "transform(filter({0}, x -> size(x.s) > 0), x -> named_struct('comp', x.comp, 'at', x.at, 'm', x.m, 's', x.s, 'e', filter(x.s, h -> h & 3 = 0)))"
-    blocks = blocks.select(F.expr(some.format("xs")).alias("xs"), F.expr(some.format("ys")).alias("ys"))
-    # a quarter of the shingles tells first: four standard errors below the threshold rule a pair out
-    p = percent / 100
-    least = f"greatest(0D, {p}D - 4 * sqrt({p * (1 - p)}D / greatest(size(x.e), size(y.e), 1)))"
-    likely = f"(1 + {least}) * size(array_intersect(x.e, y.e)) >= {least} * (size(x.e) + size(y.e))"
-    fits = f"{may} AND 100 * least(size(x.s), size(y.s)) >= {percent} * greatest(size(x.s), size(y.s)) AND {likely} AND {_near('x.s', 'y.s', percent)}"
-    links = f"flatten(transform(xs, x -> transform(filter(ys, y -> {fits}), y -> named_struct('a', x.at, 'b', y.at))))"
-    return blocks.select(F.explode(F.expr(links)).alias("l")).select("l.a", "l.b")
+    likely = f"flatten(transform(xs, x -> transform(filter(ys, y -> y.comp <> x.comp AND {_fits('x.m', 'y.m', percent)}), y -> named_struct('a', least(x.at, y.at), 'b', greatest(x.at, y.at)))))"
+    pairs = write_table(blocks.select(F.explode(F.expr(likely)).alias("l")).select("l.a", "l.b").distinct(), "line-likely")
+    return _verified(pairs, texts, percent)
 
 
 def duplicate_lines(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -173,7 +189,8 @@ def duplicate_lines(docs: DataFrame, text: str = "text", percent: int = PERCENT)
     shared = shared.select("key", "at")
     pivots = shared.groupBy("key").agg(F.min("at").alias("pivot"))
     pairs = write_table(shared.join(pivots, "key").where("at <> pivot").select(F.col("pivot").alias("a"), F.col("at").alias("b")).distinct(), "line-pairs")
-    texts = write_table(_texts(write_table(touched, "line-touched"), docs, text), "line-texts")
+    texts = write_table(_texts(write_table(touched, "line-touched"), docs, text), "line-found")
+    texts = write_table(_sketched(texts), "line-texts")
     links = write_table(_verified(pairs, texts, percent), "line-links")
     labels = components(links, "line-star")
     more = write_table(_across(shared, labels, texts, percent), "line-more")
