@@ -309,3 +309,53 @@ def test_line_sketches_lose_no_link_and_rule_most_others_out(spark):
     fit = {row.id for row in both[0].join(both[1], "id").where(lines._fits("m1", "m2", 80)).collect()}
     linked, apart = {k for k, s in alike.items() if s >= 0.8}, {k for k, s in alike.items() if 0.3 < s < 0.7}
     assert linked <= fit and len(linked) > 50 and len(apart) > 30 and len(apart & fit) < 0.2 * len(apart)
+
+
+def test_pairs_of_a_group_below_the_similarity_make_no_rows(spark, monkeypatch):
+    """150 lines, each pair at 0.789 and likely by signature and sketch: tables grow with lines, not with pairs."""
+    r = random.Random(19)
+    line = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=113))
+    rows = [(i, line[:50] + chr(0x4E00 + i) + line[51:]) for i in range(150)]
+    made = {}
+
+    def counted(df, name, *args, **options):
+        out = write_table(df, name, *args, **options)
+        made[name] = out.count()
+        return out
+
+    write_table = lines.write_table
+    monkeypatch.setattr(lines, "write_table", counted)
+    assert lines.duplicate_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).count() == 0
+    assert made["line-buckets"] >= 150 and max(made.values()) <= 20 * len(rows), made
+
+
+def test_blocks_join_what_a_pivot_left_apart_with_few_links(spark):
+    """A bucket none of whose lines is linked yet: clusters come together by fewer links than lines, others stay."""
+    r = random.Random(23)
+    text, cluster = [], []
+    for c in range(14):
+        base = "".join(r.choices("abcdefghijklmnop é語", k=r.choice([60, 300]))).strip().ljust(50, "x")
+        for _ in range(r.choice([1, 6, 12])):
+            text.append(base + chr(0x5000 + len(text)))
+            cluster.append(c)
+    found = spark.createDataFrame(list(enumerate(text)), "at bigint, line string")
+    signed = lines.signatures(found.selectExpr("at", "xxhash64(line) AS h1", "xxhash64(1, line) AS h2", "line"))
+    texts = found.join(signed.selectExpr("at", "struct(" + ", ".join(f"m{k}" for k in range(lines.MINS)) + ") AS m"), "at").selectExpr("at", "m", "line", "char_length(line) AS wide")
+    links = lines._across(found.selectExpr("7L AS key", "at"), spark.createDataFrame([], "id bigint, component bigint"), texts, 80).collect()
+    firsts = {}
+    for i, c in enumerate(cluster):
+        firsts.setdefault(c, i)
+    together = united(len(text), [(x.a, x.b) for x in links])
+    assert len({(together[i], cluster[i]) for i in range(len(text))}) == len(set(together)) == len(firsts)
+    assert 60 < len(text) < lines.BLOCK and len(links) == len(text) - len(firsts)
+
+
+def test_line_dedup_with_ids_far_apart(spark):
+    line = "the quick brown fox jumps over the lazy dog again and again"
+    rows = [(1 << 62, f"{line}\n{line}!"), (-(1 << 61), f"short\n{line}\nnothing else is like this line at all"), (5, line), (None, line)]
+    got = {x.doc_id: list(x.gone) for x in lines.duplicate_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1 << 62: [0, 1], 5: [0]}
+    near = {x.doc_id: list(x.gone) for x in lines.duplicate_lines(spark.createDataFrame([(i, t) for i, t in zip((-7, -3, 4), (line, "short", line), strict=True)], "doc_id int, text string")).collect()}
+    assert near == {4: [0]}
+    none = lines.duplicate_lines(spark.createDataFrame([(None, line)], "doc_id bigint, text string"))
+    assert none.count() == 0 and dict(none.dtypes) == {"doc_id": "bigint", "gone": "array<int>"}

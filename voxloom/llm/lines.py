@@ -8,7 +8,8 @@ band in common with chance p = s^4 + 4 s^3 (1 - s), so a pair is missed with cha
 0.8, 0.01 % at 0.9, less for small sets.  Candidates whose signatures agree in AGREE of twelve places
 are compared exactly, on all shingles of 12 characters (at 0.8 fewer agree with a chance of 0.4 %).
 
-Before sets are made, sketches rule pairs out without loss: bit (hash mod 2,048) of a line's sketch tells whether it
+A bucket's members meet its earliest line as rows.  What stays apart in larger buckets is compared inside blocks, as
+rows of pairs would grow with the square of a group: sketches rule pairs out there without loss: bit (hash mod 2,048) of a line's sketch tells whether it
 has shingles there, so two sketches differ in no more bits than the sets differ in shingles, which for
 linked lines is (|A| + |B|) (100 - percent) / (100 + percent) at most.
 """
@@ -20,6 +21,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import numbered
 from .shared import components, write_table
 
 #: Shorter lines are never removed.
@@ -36,8 +38,13 @@ AGREE = 6
 SKETCH = 32
 #: Lines in a block of the completing comparison.
 BLOCK = 128
+#: Characters of such a block's lines.
+WIDE = 1 << 20
 #: Tables are broadcast up to so many bytes, counted from their rows; beyond, joins shuffle.
 BROADCAST_BYTES = 48 << 20
+#: For tables of hashes and texts, whose values hardly repeat.
+PLAIN = {"parquet.enable.dictionary": "false"}
+SMALL = PLAIN | {"compression": "zstd", "parquet.compression.codec.zstd.level": "1"}
 
 
 def _small(df: DataFrame, row_bytes: int, items: str = "0") -> DataFrame:
@@ -68,20 +75,20 @@ def _shingles(line: str) -> Column:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """Rows (h1, m0 .. m11) of the distinct lines in ``lines`` (line).
+    """Rows (h1, h2, at, most, m0 .. m11) of the distinct lines in ``lines`` (at, h1, h2, line): first and last place, signature.
 
     UNROLL shingles share a row, the last ones standing in for those past the end.
     """
-    rows = lines.select(F.xxhash64("line").alias("h1"), F.col("line").cast("binary").alias("w"))
-    rows = rows.select("h1", "w", F.expr(f"greatest(0, length(w) - {WIDTH})").alias("last"))
-    rows = rows.select("h1", "w", "last", F.explode(F.expr(f"sequence(0, last, {UNROLL})")).alias("i"))
-    rows = rows.select("h1", *[F.expr(f"xxhash64(substring(w, least(i + {u}, last) + 1, {WIDTH}))").alias(f"x0_{u}") for u in range(UNROLL)])
+    rows = lines.select("h1", "h2", "at", F.col("line").cast("binary").alias("w"))
+    rows = rows.select("h1", "h2", "at", "w", F.expr(f"greatest(0, length(w) - {WIDTH})").alias("last"))
+    rows = rows.select("h1", "h2", "at", "w", "last", F.explode(F.expr(f"sequence(0, last, {UNROLL})")).alias("i"))
+    rows = rows.select("h1", "h2", "at", *[F.expr(f"xxhash64(substring(w, least(i + {u}, last) + 1, {WIDTH}))").alias(f"x0_{u}") for u in range(UNROLL)])
     for k in range(1, HASHES // 2):
         rows = rows.select("*", *[F.xxhash64(f"x{k - 1}_{u}").alias(f"x{k}_{u}") for u in range(UNROLL)])
     halves = ("int(shiftright({x}, 32))", "int(shiftright(shiftleft({x}, 32), 32))")
-    rows = rows.select("h1", *[F.expr(halves[s % 2].format(x=f"x{s // 2}_{u}")).alias(f"v{s}_{u}") for s in range(HASHES) for u in range(UNROLL)])
+    rows = rows.select("h1", "h2", "at", *[F.expr(halves[s % 2].format(x=f"x{s // 2}_{u}")).alias(f"v{s}_{u}") for s in range(HASHES) for u in range(UNROLL)])
     least = [F.expr(f"min(least({', '.join(f'v{s}_{u} ^ ({_order(p)})' for u in range(UNROLL))}))") for p in range(ORDERS) for s in range(HASHES)]
-    return rows.groupBy("h1").agg(*[m.alias(f"m{k}") for k, m in enumerate(least)])
+    return rows.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.max("at").alias("most"), *[m.alias(f"m{k}") for k, m in enumerate(least)])
 
 
 def _order(p: int) -> int:
@@ -90,11 +97,23 @@ def _order(p: int) -> int:
     return bits - (1 << 32) if bits >> 31 else bits
 
 
+def _halves(signed: DataFrame) -> DataFrame:
+    """Rows (key, at, g, v0 .. v3): two keys for each group g of four values, one for each two of them."""
+    pick = [F.struct(F.xxhash64(F.lit(2 * g + k), f"m{4 * g + 2 * k}", f"m{4 * g + 2 * k + 1}").alias("key"), F.lit(g).alias("g"), *[F.col(f"m{4 * g + v}").alias(f"v{v}") for v in range(4)]) for g in range(ORDERS) for k in range(2)]
+    return signed.select("at", F.explode(F.array(*pick)).alias("p")).select("at", "p.*")
+
+
 def _banded(signed: DataFrame) -> DataFrame:
-    """Rows (key, h1): a key for each three of the four values of a group."""
-    threes = [c for g in range(ORDERS) for c in combinations(range(HASHES * g, HASHES * (g + 1)), 3)]
-    keys = [F.xxhash64(F.lit(k), *[f"m{i}" for i in c]) for k, c in enumerate(threes)]
-    return signed.select(F.explode(F.array(*keys)).alias("key"), "h1")
+    """Rows (key, at): keys for each three of the four values of a group, where another line has such a key or may have.
+
+    Lines that agree in three of four agree in the first two or the last two, so only groups with
+    a common key for two of their values get keys for three: half the rows, and the same buckets.
+    """
+    halves = _halves(signed)
+    hot = halves.groupBy("key").agg(F.min("at").alias("least"), F.max("at").alias("most")).where("least <> most").select("key")
+    some = halves.join(_small(hot, 24), "key").select("at", "g", *[f"v{v}" for v in range(HASHES)]).distinct()
+    keys = [F.xxhash64(F.lit(k), "g", *[f"v{i}" for i in c]) for k, c in enumerate(combinations(range(HASHES), 3))]
+    return some.select(F.explode(F.array(*keys)).alias("key"), "at")
 
 
 def _agree(x: str, y: str) -> str:
@@ -120,53 +139,67 @@ def _sketched(texts: DataFrame) -> DataFrame:
     return texts.join(made, "at").select("at", m.alias("m"), "line")
 
 
-def _texts(touched: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """Rows (at, m, line) of the lines that stand first at ``at`` (doc_id, no)."""
-    places = _small(touched.select(F.col("at.doc_id").alias("d"), F.col("at.no").alias("n")), 48)
-    found = _lines(docs, text).join(places, (F.col("doc_id") == F.col("d")) & (F.col("no") == F.col("n")))
-    found = found.select(F.struct("doc_id", "no").alias("at"), "line").dropDuplicates(["at"])
-    return found.join(touched, "at").select("at", "m", "line")
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of lines whose shingle sets reach the similarity."""
     a, b = (texts.select(F.col("at").alias(x), F.col("m").alias(f"m{x}"), F.col("line").alias(f"l{x}")) for x in "ab")
-    both = pairs.join(a, "a").join(b, "b").where(_fits("ma", "mb", percent))
+    both = pairs.join(a, "a").join(b, "b").where(_agree("ma", "mb"))
     sets = both.select("a", "b", _shingles("la").alias("s"), _shingles("lb").alias("t"))
     # in a generator, not a filter: that would be pushed down and make the sets again for each mention
-    hit = f"100 * least(size(s), size(t)) >= {percent} * greatest(size(s), size(t)) AND {_near('s', 't', percent)}"
-    return sets.select("a", "b", F.explode(F.expr(f"IF({hit}, array(1), CAST(array() AS array<int>))"))).select("a", "b")
+    return sets.select("a", "b", F.explode(F.expr(f"IF({_near('s', 't', percent)}, array(1), CAST(array() AS array<int>))"))).select("a", "b")
 
 
 def _near(s: str, t: str, percent: int) -> str:
     """SQL: whether two sets, not both empty, reach the similarity."""
-    return f"{100 + percent} * size(array_intersect({s}, {t})) >= {percent} * (size({s}) + size({t}))"
+    sizes = f"100 * least(size({s}), size({t})) >= {percent} * greatest(size({s}), size({t}))"
+    return f"{sizes} AND {100 + percent} * size(array_intersect({s}, {t})) >= {percent} * (size({s}) + size({t}))"
+
+
+def _forest(blocks: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components in each block (xs, ys: arrays of (comp, at, light, line and what ``_fits`` takes)), as few as join them.
+
+    What signatures and sketches leave is listed by place inside the row, and the sets of lines listed are made
+    once.  A pair is compared if nothing in this block has joined its components, so a block gives fewer links
+    than it has components, and no pair becomes a row unless it is one of them.
+    """
+    fit = f"y.comp <> x.comp AND (NOT y.light OR x.at < y.at) AND {_fits('x', 'y', percent)}"
+    listed = f"filter(transform(ys, (y, j) -> IF({fit}, struct(i AS i, j AS j, x.comp AS k, y.comp AS l), NULL)), p -> p IS NOT NULL)"
+    rows = blocks.select("xs", "ys", F.expr(f"flatten(transform(xs, (x, i) -> {listed}))").alias("ps"))
+    rows = rows.select("xs", "ys", "ps", F.explode(F.expr("array_repeat(1, least(size(ps), 1))")).alias("any"))
+    sets = [F.expr(f"transform({v}, (z, i) -> IF(exists(ps, p -> p.{p} = i), {_shingles_sql('z.line')}, NULL))").alias(f"s{v}") for v, p in (("xs", "i"), ("ys", "j"))]
+    comps = "array_distinct(concat(transform(ps, p -> p.k), transform(ps, p -> p.l)))"
+    rows = rows.select("ps", *[F.expr(f"transform({v}, z -> z.at)").alias(f"a{v}") for v in ("xs", "ys")], *sets, F.expr(comps).alias("comps"))
+    k, l = (f"acc.lab[int(array_position(comps, p.{c})) - 1]" for c in "kl")
+    joined = f"struct(transform(acc.lab, z -> IF(z = {l}, {k}, z)) AS lab, array_append(acc.links, struct(axs[p.i] AS a, ays[p.j] AS b)) AS links)"
+    step = f"IF({k} <> {l} AND {_near('sxs[p.i]', 'sys[p.j]', percent)}, {joined}, acc)"
+    start = "struct(comps AS lab, CAST(array() AS array<struct<a: bigint, b: bigint>>) AS links)"
+    return rows.select(F.explode(F.expr(f"aggregate(ps, {start}, (acc, p) -> {step}, acc -> acc.links)")).alias("l")).select("l.a", "l.b")
 
 
 def _across(shared: DataFrame, labels: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links between different components that some bucket holds together.
+    """Links between different components that some bucket holds together, as many as join them.
 
-    In a bucket with several components the one with most members is its base; under each base the
+    A bucket of two has been compared whole, as pivot and member, and a bucket of one component needs nothing.
+    In the others the component with most members is the base; under each base the
     members of others (``light``) meet all members of those buckets.  Both sides are dealt into blocks of
-    about BLOCK lines.  A block's pairs meet inside one row, by signature, size and sketch; only those that
-    pass become rows, and are compared exactly.
+    about BLOCK lines, or WIDE characters; a block's pairs meet inside one row (``_forest``).
     """
-    known = shared.join(labels, shared["at"] == labels["id"], "left").select("key", "at", F.coalesce("component", "at").alias("comp"))
-    known = write_table(known, "line-members")
+    known = shared.join(_small(labels, 32), F.col("at") == F.col("id"), "left").select("key", "at", F.coalesce("component", "at").alias("comp"))
+    mixed = known.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("n")).where("least <> most AND n > 2").select("key")
+    known = write_table(known.join(_small(mixed, 24), "key"), "line-members")
     per = known.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    mixed = per.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("k")).where("k > 1")
-    under = known.join(mixed.select("key", F.col("m.comp").alias("base")), "key").select("base", "at", "comp", (F.col("comp") != F.col("base")).alias("light")).distinct()
-    under = write_table(under, "line-mixed")
-    size = under.groupBy("base").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cols"), F.ceil(F.count(F.when(F.col("light"), 1)) / BLOCK).cast("int").alias("rows"))
+    bases = per.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m")).select("key", F.col("m.comp").alias("base"))
+    under = known.join(bases, "key").select("base", "at", "comp", (F.col("comp") != F.col("base")).alias("light")).distinct()
+    under = write_table(under.join(texts.select("at", "wide"), "at"), "line-mixed")
+    most = "int(ceil(greatest(count({0}) / {1}, coalesce(sum({2}), 0) / {3})))"
+    size = under.groupBy("base").agg(F.expr(most.format("1", BLOCK, "wide", WIDE)).alias("cols"), F.expr(most.format("IF(light, 1, NULL)", BLOCK, "IF(light, wide, NULL)", WIDE)).alias("rows"))
     dealt = under.join(size, "base")
-    light = dealt.where("light").select("base", "at", "comp", F.pmod(F.xxhash64("at", F.lit(1)), "rows").cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"), F.lit(True).alias("light"))
-    every = dealt.select("base", "at", "comp", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), F.pmod(F.xxhash64("at", F.lit(2)), "cols").cast("int").alias("c"), F.lit(False).alias("light"))
-    placed = light.unionByName(every).join(texts.select("at", "m"), "at")
-    item = F.struct("comp", "at", "m")
-    blocks = placed.groupBy("base", "r", "c").agg(F.collect_list(F.when(F.col("light"), item)).alias("xs"), F.collect_list(F.when(~F.col("light"), item)).alias("ys"))
-    likely = f"flatten(transform(xs, x -> transform(filter(ys, y -> y.comp <> x.comp AND {_fits('x.m', 'y.m', percent)}), y -> named_struct('a', least(x.at, y.at), 'b', greatest(x.at, y.at)))))"
-    pairs = write_table(blocks.select(F.explode(F.expr(likely)).alias("l")).select("l.a", "l.b").distinct(), "line-likely")
-    return _verified(pairs, texts, percent)
+    light = dealt.where("light").select("base", "at", "comp", "light", F.pmod(F.xxhash64("at", F.lit(1)), "rows").cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"), F.lit(True).alias("x"))
+    every = dealt.select("base", "at", "comp", "light", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), F.pmod(F.xxhash64("at", F.lit(2)), "cols").cast("int").alias("c"), F.lit(False).alias("x"))
+    sketched = write_table(_sketched(texts.join(under.select("at").distinct(), "at", "left_semi")), "line-sketches")
+    placed = light.unionByName(every).join(sketched, "at")
+    item = F.struct("comp", "at", "light", "line", "m.*")
+    blocks = placed.groupBy("base", "r", "c").agg(F.collect_list(F.when(F.col("x"), item)).alias("xs"), F.collect_list(F.when(~F.col("x"), item)).alias("ys"))
+    return _forest(blocks, percent)
 
 
 def duplicate_lines(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -179,25 +212,37 @@ def duplicate_lines(docs: DataFrame, text: str = "text", percent: int = PERCENT)
     after that are compared in blocks.  A component's label is its first place, so nothing is
     joined on components.  Rows that share an id are one document; rows with a null id are left out.
     """
-    rows = write_table(_lines(docs, text).select("doc_id", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")), "lines")
-    firsts = write_table(rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "no")).alias("at"), F.count("*").alias("c")), "line-firsts")
-    signed = write_table(signatures(_lines(docs, text)), "line-signatures")
-    keyed = _banded(signed)
-    hot = keyed.groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).where("least <> most").select("key")
-    shared = write_table(keyed.join(_small(hot, 24), "key").join(firsts.select("h1", "at"), "h1").select("key", "at", "h1"), "line-buckets")
-    touched = shared.select("at", "h1").distinct().join(signed.select("h1", F.struct(*[f"m{k}" for k in range(MINS)]).alias("m")), "h1").select("at", "m")
-    shared = shared.select("key", "at")
-    pivots = shared.groupBy("key").agg(F.min("at").alias("pivot"))
-    pairs = write_table(shared.join(pivots, "key").where("at <> pivot").select(F.col("pivot").alias("a"), F.col("at").alias("b")).distinct(), "line-pairs")
-    texts = write_table(_texts(write_table(touched, "line-touched"), docs, text), "line-found")
-    texts = write_table(_sketched(texts), "line-texts")
+    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    if low is not None and high - low >= 1 << 32:  # places hold 32 bits of an id: ids by rank, so that order stays
+        ranks = write_table(numbered(docs.select(F.col("doc_id").alias("id")).distinct(), ["id"], "rank"), "line-ranks")
+        ranked = docs.join(ranks, docs["doc_id"] == ranks["id"]).select(F.col("rank").cast("bigint").alias("doc_id"), "text")
+        gone = _gone(ranked, 0, percent)
+        return gone.join(ranks, gone["doc_id"] == ranks["rank"]).select(F.col("id").alias("doc_id"), "gone")
+    return _gone(docs, low or 0, percent)
+
+
+def _gone(docs: DataFrame, low: int, percent: int) -> DataFrame:
+    """``duplicate_lines`` of rows (doc_id, text) with ids from ``low`` to under ``low + 2^32``; a place is (doc_id - low) * 2^31 + no."""
+    place = F.shiftleft(F.col("doc_id") - F.lit(low).cast("bigint"), 31).bitwiseOR(F.col("no").cast("bigint"))
+    lines = write_table(_lines(docs, "text").select(place.alias("at"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "line"), "lines", **SMALL)
+    signed = write_table(signatures(lines), "line-signatures", **PLAIN)
+    keyed = write_table(_banded(signed), "line-keys")
+    hot = keyed.groupBy("key").agg(F.min("at").alias("pivot"), F.max("at").alias("most")).where("pivot <> most").select("key", "pivot")
+    shared = write_table(keyed.join(_small(hot, 32), "key"), "line-buckets")
+    pairs = write_table(shared.where("at <> pivot").select(F.col("pivot").alias("a"), F.col("at").alias("b")).distinct(), "line-pairs")
+    touched = _small(shared.select("at").distinct(), 24)
+    texts = lines.select("at", "line").join(touched, "at").join(signed.select("at", F.struct(*[f"m{k}" for k in range(MINS)]).alias("m")).join(touched, "at"), "at")
+    texts = write_table(texts.select("at", "m", "line", F.char_length("line").alias("wide")), "line-texts")
     links = write_table(_verified(pairs, texts, percent), "line-links")
     labels = components(links, "line-star")
-    more = write_table(_across(shared, labels, texts, percent), "line-more")
+    more = write_table(_across(shared.select("key", "at"), labels, texts, percent), "line-more")
     if not more.isEmpty():
         labels = components(links.union(more), "line-all")
-    decided = firsts.join(labels, firsts["at"] == labels["id"], "left").where("c > 1 OR component IS NOT NULL").select("h1", "h2", F.coalesce("component", "at").alias("first"))
-    gone = rows.join(decided, ["h1", "h2"]).where(F.struct("doc_id", "no") != F.col("first"))
+    decided = signed.select("h1", "h2", "at", "most").join(_small(labels, 32), F.col("at") == F.col("id"), "left")
+    decided = decided.where("at <> most OR component IS NOT NULL").select("h1", "h2", F.coalesce("component", "at").alias("first"))
+    gone = lines.select("at", "h1", "h2").join(_small(decided, 40), ["h1", "h2"]).where("at <> first")
+    gone = gone.select((F.shiftright("at", 31) + F.lit(low).cast("bigint")).alias("doc_id"), F.col("at").bitwiseAND(F.lit((1 << 31) - 1).cast("bigint")).cast("int").alias("no"))
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("no")).alias("gone"))
 
 
