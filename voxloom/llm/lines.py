@@ -44,7 +44,6 @@ WIDE = 1 << 20
 BROADCAST_BYTES = 48 << 20
 #: For tables of hashes and texts, whose values hardly repeat.
 PLAIN = {"parquet.enable.dictionary": "false"}
-SMALL = PLAIN | {"compression": "zstd", "parquet.compression.codec.zstd.level": "1"}
 
 
 def _small(df: DataFrame, row_bytes: int, items: str = "0") -> DataFrame:
@@ -225,7 +224,7 @@ def duplicate_lines(docs: DataFrame, text: str = "text", percent: int = PERCENT)
 def _gone(docs: DataFrame, low: int, percent: int) -> DataFrame:
     """``duplicate_lines`` of rows (doc_id, text) with ids from ``low`` to under ``low + 2^32``; a place is (doc_id - low) * 2^31 + no."""
     place = F.shiftleft(F.col("doc_id") - F.lit(low).cast("bigint"), 31).bitwiseOR(F.col("no").cast("bigint"))
-    lines = write_table(_lines(docs, "text").select(place.alias("at"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "line"), "lines", **SMALL)
+    lines = write_table(_lines(docs, "text").select(place.alias("at"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "line"), "lines", **PLAIN)
     signed = write_table(signatures(lines), "line-signatures", **PLAIN)
     keyed = write_table(_banded(signed), "line-keys")
     hot = keyed.groupBy("key").agg(F.min("at").alias("pivot"), F.max("at").alias("most")).where("pivot <> most").select("key", "pivot")
